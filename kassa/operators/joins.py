@@ -1,0 +1,22 @@
+"""Joins with a checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a dimension may have to be broadcast explicitly. Bigger sides are left
+# to the optimizer (AQE converts a join to broadcast at runtime only when the
+# measured size is under spark.sql.autoBroadcastJoinThreshold).
+MAX_BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``.
+
+    The check is a count of at most ``max_rows + 1`` rows, so it stays cheap
+    even when the table turns out to be large.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The original workload is batch only: it has no stream source or sink, no
+watermark, window or state. Nothing is built here on purpose (see README);
+every stage is a ``DataFrame -> DataFrame`` function, so it can be called
+from ``foreachBatch`` unchanged if a stream is ever wanted.
+"""
