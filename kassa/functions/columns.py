@@ -16,10 +16,25 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def na_to_null(col: str | Column, tokens: Sequence[str]) -> Column:
-    """Missing-value tokens of a text column become null."""
-    c = _c(col)
-    return F.when(c.isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)
+    """Missing-value tokens of a text column become null.
+
+    For a column name the rule is built as one SQL expression (one call to the
+    JVM instead of one per token); both forms plan to the same ``InSet``.
+    """
+    if isinstance(col, str):
+        name = sql_name(col)
+        listed = ", ".join(sql_string(t) for t in tokens)
+        return F.expr(f"CASE WHEN {name} IN ({listed}) THEN NULL ELSE {name} END")
+    return F.when(col.isin(list(tokens)), F.lit(None).cast("string")).otherwise(col)
 
 
 def tolerant_timestamp(col: str | Column, fmt: str) -> Column:
@@ -36,10 +51,21 @@ def tolerant_timestamp(col: str | Column, fmt: str) -> Column:
 
 def is_missing(col: str, dtype: T.DataType) -> Column:
     """Null, or NaN for floating columns (NaN counts as a missing cell)."""
-    c = F.col(col)
+    return F.expr(missing_sql(col, dtype))
+
+
+def missing_sql(col: str, dtype: T.DataType) -> str:
+    name = sql_name(col)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
+        return f"({name} IS NULL OR isnan({name}))"
+    return f"{name} IS NULL"
+
+
+def missing_cells(df_schema: T.StructType, columns: Sequence[str]) -> Column:
+    """Number of missing cells over ``columns`` (an aggregate, as one expression)."""
+    types = {f.name: f.dataType for f in df_schema.fields}
+    terms = " + ".join(f"count_if({missing_sql(c, types[c])})" for c in columns)
+    return F.expr(f"CAST({terms or '0'} AS BIGINT)")
 
 
 def clip(col: str | Column, low: float, high: float) -> Column:

@@ -48,7 +48,14 @@ def clean(df: DataFrame, cfg: CleanConfig = DEFAULT) -> DataFrame:
 
     The exact-row dedup is implied by the keyed one (identical rows share a
     key and tie on every column), so it costs no extra shuffle here.
+
+    When the key is itself critical, rows with a null key are removed before
+    the dedup shuffle: their group's survivor would be dropped by the null rule
+    anyway, so the result is the same and a hot null key never reaches the
+    exchange.
     """
+    if cfg.key in cfg.critical:
+        df = df.where(F.col(cfg.key).isNotNull())
     out = dedup(df, cfg)
     out = drop_critical_nulls(out, cfg.critical)
     out = fill_defaults(out, cfg.fills)

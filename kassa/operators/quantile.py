@@ -4,20 +4,24 @@ Spark's exact ``percentile`` merges a map of every distinct value into a
 single task for a global quantile; that does not survive 100 TB. Here the
 exact order statistics are found by histogram refinement:
 
-1. one pass gets ``count``, ``min`` and ``max`` of the column;
-2. each round splits the current value interval into at most ``buckets``
-   equal-width buckets, aggregates ``count/min/max`` per bucket (partial
-   aggregation map-side, so a hot value costs nothing extra), runs a prefix
-   sum over the bucket table (bounded by ``buckets`` rows) and keeps the one
-   bucket that holds the wanted rank;
-3. once an interval holds at most ``buckets`` rows, it is grouped by the exact
-   value, which resolves the rank.
+1. one aggregate pass counts the rows, with ``count/min/max``, per
+   logarithmic bucket ``sign(x) * floor(64 * log1p(|x|))``: monotone, needs
+   no min/max up front, and has at most 2 * 64 * 710 buckets for any finite
+   double, so the bucket table is bounded by construction;
+2. a prefix sum over that table finds the bucket of every wanted rank;
+3. each further round splits every open interval still holding more than
+   ``buckets`` rows into ``buckets`` equal-width buckets (all intervals in one
+   aggregate pass; partial aggregation map-side, so a hot value costs nothing
+   extra), collects that bounded table and keeps the bucket of each rank;
+4. once an interval holds at most ``buckets`` rows, those rows are read and
+   the rank is picked directly.
 
 The bucket function is monotone, so everything below the chosen bucket is
 strictly smaller than its ``min`` and everything above strictly larger than
 its ``max``: the next round filters on ``[min, max]`` and adds the rows below
-to the running offset. The interval strictly shrinks every round. The driver
-only ever receives one small row per wanted rank per round.
+to the running offset. The interval strictly shrinks every round, and each
+round divides its width by ``buckets``. No task and no driver call ever holds
+more than ``buckets`` rows per wanted rank.
 
 Quantiles are linear interpolation between the order statistics at
 ``floor((n-1)p)`` and ``ceil((n-1)p)``, like ``quantile_cont``/``numpy``.
@@ -30,11 +34,11 @@ from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BUCKETS = 1_000_000
+DEFAULT_BUCKETS = 65_536
 
 
 def _values(df: DataFrame, column: str) -> DataFrame:
@@ -45,57 +49,103 @@ def _values(df: DataFrame, column: str) -> DataFrame:
     return df.select(c.alias("x")).where(cond)
 
 
-def _histogram(values: DataFrame, lo, hi, rows: int, buckets: int) -> DataFrame:
-    """Bucket table of the values in ``[lo, hi]``: b, n, lo, hi, n_before."""
+# Buckets per e-fold of |x| in the first pass: each first-pass bucket spans a
+# relative width of e^(1/64) - 1 (about 1.6 %), and there are at most
+# 2 * 64 * 710 of them for any finite double, however many rows there are.
+LOG_BUCKETS_PER_EFOLD = 64
+
+
+def _log_bucket(x):
+    """Monotone bucket of a value that needs no min/max: sign * log1p(|x|)."""
+    xd = x.cast("double")
+    k = F.lit(float(LOG_BUCKETS_PER_EFOLD))
+    return F.when(xd >= 0, F.floor(F.log1p(xd) * k)).otherwise(-F.floor(F.log1p(-xd) * k) - 1)
+
+
+def _first_pass(values: DataFrame) -> list[tuple]:
+    """(bucket, n, min, max) of the log buckets, sorted: one aggregate pass."""
+    rows = (values.groupBy(_log_bucket(F.col("x")).alias("b"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            .collect())
+    return sorted((r["b"], r["n"], r["lo"], r["hi"]) for r in rows)
+
+
+def _in(lo, hi):
+    return F.col("x").between(F.lit(lo), F.lit(hi))
+
+
+def _histograms(values: DataFrame, wide: list[tuple], buckets: int) -> dict[int, list]:
+    """Equal-width bucket tables of several intervals in one aggregate pass.
+
+    Each row is tagged with the interval it falls in (intervals are disjoint
+    or equal), then grouped by (interval, bucket): partial aggregation
+    map-side, at most ``buckets`` groups per interval, so the collected table
+    is bounded by construction.
+    """
     x = F.col("x")
-    part = values.where(x.between(F.lit(lo), F.lit(hi)))
-    lo_d = float(lo)
-    width = (float(hi) - lo_d) / buckets
-    if rows <= buckets or not width > 0:
-        key = x  # few enough rows (or a range below double resolution): exact values
-    else:
-        key = F.least(F.floor((x.cast("double") - F.lit(lo_d)) / F.lit(width)),
-                      F.lit(buckets - 1))
-    hist = part.groupBy(key.alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    # Prefix sum over at most `buckets` rows of one interval.
-    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    return hist.withColumn("n_before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-
-
-def _stats(values: DataFrame) -> tuple[int, object, object]:
-    row = values.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                     F.max("x").alias("hi")).first()
-    return row["n"], row["lo"], row["hi"]
-
-
-def _select(values: DataFrame, stats: tuple, ranks: Sequence[int],
+    tags = []
+    for i, (lo, hi) in enumerate(wide):
+        lo_d = float(lo)
+        width = (float(hi) - lo_d) / buckets
+        b = F.least(F.floor((x.cast("double") - F.lit(lo_d)) / F.lit(width)),
+                    F.lit(buckets - 1))
+        tags.append(F.when(_in(lo, hi), F.struct(F.lit(i).alias("t"), b.alias("b"))))
+    tagged = (values.select(F.explode(F.array(*tags)).alias("tb"), "x")
+              .where(F.col("tb").isNotNull()))
+    rows = (tagged.groupBy(F.col("tb.t").alias("t"), F.col("tb.b").alias("b"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            .collect())
+    out: dict[int, list] = {i: [] for i in range(len(wide))}
+    for r in rows:
+        out[r["t"]].append((r["b"], r["n"], r["lo"], r["hi"]))
+    for i in out:
+        out[i].sort(key=lambda e: e[0])
+    return out
+
+
+def _assign(hist: list[tuple], below: int, ranks: list[int], nxt: dict) -> None:
+    """Prefix sums over a sorted bucket table: the bucket holding each rank."""
+    seen = below
+    for _, cnt, blo, bhi in hist:
+        hit = [r for r in ranks if seen <= r < seen + cnt]
+        if hit:
+            nxt.setdefault((blo, bhi), [cnt, seen, []])[2].extend(hit)
+        seen += cnt
+
+
+def _select(values: DataFrame, first: list[tuple], ranks: Sequence[int],
             buckets: int) -> dict[int, object]:
-    n, lo0, hi0 = stats
+    n = sum(e[1] for e in first)
     wanted = sorted(set(int(r) for r in ranks))
     if any(r < 0 or r >= n for r in wanted):
         raise ValueError(f"ranks must lie in [0, {n})")
     found: dict[int, object] = {}
     # interval (lo, hi) -> [rows in it, rows below it, ranks it must resolve]
-    open_ = {(lo0, hi0): [n, 0, wanted]} if wanted else {}
+    open_: dict[tuple, list] = {}
+    _assign(first, 0, wanted, open_)
     while open_:
-        nxt: dict[tuple, list] = {}
-        for (lo, hi), (rows, below, rs) in open_.items():
-            if lo == hi:
+        for (lo, hi), (_, _, rs) in list(open_.items()):
+            if lo == hi:  # one distinct value left
                 found.update({r: lo for r in rs})
-                continue
-            hist = _histogram(values, lo, hi, rows, buckets)
+                del open_[(lo, hi)]
+        small = {k: v for k, v in open_.items()
+                 if v[0] <= buckets or not (float(k[1]) - float(k[0])) / buckets > 0}
+        wide = [k for k in open_ if k not in small]
+        if small:
+            # At most `buckets` rows left per interval: read them in one pass.
             cond = F.lit(False)
-            for r in rs:
-                k = r - below
-                cond = cond | ((F.col("n_before") <= k) & (F.lit(k) < F.col("n_before") + F.col("n")))
-            for row in hist.where(cond).collect():  # at most len(rs) rows
-                for r in rs:
-                    k = r - below
-                    if row["n_before"] <= k < row["n_before"] + row["n"]:
-                        slot = nxt.setdefault((row["lo"], row["hi"]),
-                                              [row["n"], below + row["n_before"], []])
-                        slot[2].append(r)
+            for lo, hi in small:
+                cond = cond | _in(lo, hi)
+            xs = [r["x"] for r in values.where(cond).collect()]
+            for (lo, hi), (_, below, rs) in small.items():
+                part = sorted(v for v in xs if lo <= v <= hi)
+                found.update({r: part[r - below] for r in rs})
+        nxt: dict[tuple, list] = {}
+        if wide:
+            hists = _histograms(values, wide, buckets)
+            for i, key in enumerate(wide):
+                _, below, rs = open_[key]
+                _assign(hists[i], below, rs, nxt)
         open_ = nxt
     return found
 
@@ -110,8 +160,8 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int],
     if buckets < 2:
         raise ValueError("buckets must be at least 2")
     values = _values(df, column)
-    stats = _stats(values)
-    return stats[0], _select(values, stats, ranks, buckets)
+    first = _first_pass(values)
+    return sum(e[1] for e in first), _select(values, first, ranks, buckets)
 
 
 def _interpolate(lo, hi, frac: Decimal):
@@ -121,18 +171,22 @@ def _interpolate(lo, hi, frac: Decimal):
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
-                    buckets: int = DEFAULT_BUCKETS) -> dict[float, object]:
-    """Exact linear-interpolation quantiles; ``None`` per prob when empty."""
+                    buckets: int = DEFAULT_BUCKETS, cache: bool = True) -> dict[float, object]:
+    """Exact linear-interpolation quantiles; ``None`` per prob when empty.
+
+    ``cache=False`` when ``df`` is already persisted by the caller."""
     if any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("quantile probabilities lie in [0, 1]")
     if buckets < 2:
         raise ValueError("buckets must be at least 2")
     # The passes below read only this one column: keep it (spilling to disk
     # as needed) so the lineage above runs once. Lost blocks are recomputed.
-    values = _values(df, column).persist(StorageLevel.MEMORY_AND_DISK)
+    values = _values(df, column)
+    if cache:
+        values = values.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = _stats(values)
-        n = stats[0]
+        first = _first_pass(values)
+        n = sum(e[1] for e in first)
         if n == 0:
             return {p: None for p in probs}
         plan = {}
@@ -141,9 +195,10 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
             lo_r = int(math.floor(pos))
             plan[p] = (lo_r, min(lo_r + 1, n - 1), pos - lo_r)
         ranks = [r for lo, hi, _ in plan.values() for r in (lo, hi)]
-        vals = _select(values, stats, ranks, buckets)
+        vals = _select(values, first, ranks, buckets)
     finally:
-        values.unpersist()
+        if cache:
+            values.unpersist()
     return {p: _interpolate(vals[lo], vals[hi], frac) for p, (lo, hi, frac) in plan.items()}
 
 
@@ -160,8 +215,8 @@ def approx_quantiles(df: DataFrame, column: str, probs: Sequence[float],
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float],
               relative_error: float | None = None,
-              buckets: int = DEFAULT_BUCKETS) -> dict[float, object]:
+              buckets: int = DEFAULT_BUCKETS, cache: bool = True) -> dict[float, object]:
     """Exact when ``relative_error`` is None, else approximate."""
     if relative_error is None:
-        return exact_quantiles(df, column, probs, buckets)
+        return exact_quantiles(df, column, probs, buckets, cache)
     return approx_quantiles(df, column, probs, relative_error)

@@ -204,6 +204,19 @@ SELECT (SELECT count(*) FROM replicated) AS rows_in,
 FROM r_enriched""")
 
 
+def _exact_quantile_select(src: str, col: str, p: float, alias: str) -> str:
+    """Linear interpolation between the order statistics at floor/ceil((n-1)p),
+    in exact decimal arithmetic, rounded HALF_UP to 6 places."""
+    pos = f"(q.n - 1) * CAST({p} AS DECIMAL(10,6))"
+    return f"""SELECT CAST(ROUND(a.v + (b.v - a.v) * ({pos} - floor({pos})), 6) AS DOUBLE) AS {alias},
+  q.n AS rows
+FROM (SELECT count(*) AS n FROM {src}) q
+JOIN (SELECT {col} AS v, row_number() OVER (ORDER BY {col}) - 1 AS rk FROM {src}) a
+  ON a.rk = CAST(floor({pos}) AS BIGINT)
+JOIN (SELECT {col} AS v, row_number() OVER (ORDER BY {col}) - 1 AS rk FROM {src}) b
+  ON b.rk = least(CAST(floor({pos}) AS BIGINT) + 1, q.n - 1)"""
+
+
 def _parse_timestamp_select() -> str:
     return """SELECT transaction_id, ts_text,
   try_strptime(substr(ts_text, 1, 19), '%Y-%m-%d %H:%M:%S') AS "timestamp"
@@ -254,9 +267,8 @@ FROM (SELECT count(*) AS rows_before, {_null_cells(RAW_COLUMNS, DOUBLE_COLUMNS)}
         "median_order_value": _with(
             f"SELECT CAST(ROUND(quantile_cont(net_revenue, {MEDIAN_QUANTILE}), {MONEY_DIGITS}) "
             f"AS DOUBLE) AS median_order_value FROM enriched"),
-        "p90_threshold": _with(
-            f"SELECT CAST(quantile_cont(net_revenue, {HIGH_VALUE_QUANTILE}) AS DOUBLE) "
-            f"AS p90_threshold, count(*) AS rows FROM enriched"),
+        "p90_threshold": _with(_exact_quantile_select("enriched", "net_revenue",
+                                                      HIGH_VALUE_QUANTILE, "p90_threshold")),
         "status_counts": _with("SELECT status, count(*) AS transactions FROM enriched "
                                "GROUP BY status"),
         "status_rates": _with(f"SELECT {_status_rates()} FROM enriched"),
