@@ -56,6 +56,25 @@ TOP_CUSTOMERS = 10
 # Money is exact: every per-row amount is a decimal with 6 places.
 MONEY_TYPE = "decimal(18,6)"
 
+# Synthetic transactions: value lists, draws and named scales.
+CATEGORIES = ("Electronics", "Clothing", "Books", "Home & Kitchen", "Sports", "Toys",
+              "Grocery", "Automotive", "Health", "Beauty")
+PAYMENT_METHODS = ("credit_card", "debit_card", "paypal", "upi", "net_banking", "cod")
+STATUSES = ("completed", "pending", "cancelled", "refunded")
+REGIONS = ("North", "South", "East", "West", "Central")
+DEVICE_TYPES = ("mobile", "desktop", "tablet")
+CUSTOMER_ID_RANGE = (1000, 99998)          # inclusive
+PRODUCT_ID_RANGE = (100, 9998)             # inclusive
+PRICE_EXP_SCALE, PRICE_OFFSET = 150.0, 5.0  # round(Exp(150) + 5, 2)
+QUANTITY_RANGE = (1, 10)                   # inclusive
+DISCOUNT_SHARE = 0.3                       # share of rows with a discount
+DISCOUNT_RANGE = (0.05, 0.40)              # uniform, rounded to 2 places
+MISSING_NAME_SHARE = 0.02                  # product name written as the text "None"
+DUPLICATE_FLAG_SHARE = 0.01
+TIMESTAMP_RANGE = ("2022-01-01 00:00:00", "2024-12-31 00:00:00")  # [start, end)
+SCALES = {"small": (10_000, "10K"), "medium": (100_000, "100K"),
+          "large": (1_000_000, "1M"), "extra_large": (10_000_000, "10M")}
+
 
 @dataclass(frozen=True)
 class CleanConfig:

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 SUCCESS = "SUCCESS"
 STAGES = ("extract", "transform", "load", "analytics")
 
-_ok = F.coalesce(F.col("status"), F.lit(SUCCESS)) == SUCCESS
+
+def _ok():
+    return F.coalesce(F.col("status"), F.lit(SUCCESS)) == SUCCESS
 
 
 def _if_ok(col: str):
-    return F.when(_ok, F.col(col))
+    return F.when(_ok(), F.col(col))
 
 
 def summary_table(runs: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def speedup(runs: DataFrame, baseline: str = "pandas", candidate: str = "pyspark
 
 def throughput(runs: DataFrame) -> DataFrame:
     """Thousand raw rows per second of every successful run."""
-    return runs.where(_ok).select(
+    return runs.where(_ok()).select(
         "framework", "scale_label", "raw_rows", "time_total_s",
         (F.col("raw_rows") / F.greatest(F.col("time_total_s"), F.lit(1e-6)) / 1000.0)
         .alias("k_rows_per_s"))
@@ -77,9 +79,9 @@ def stage_breakdown(runs: DataFrame, scale_label: str | None = None) -> DataFram
     """Long form (framework, scale_label, stage, seconds) of the four stage
     times, for one scale or, by default, the largest by raw rows (not by the
     label's text order)."""
-    ok = runs.where(_ok)
+    ok = runs.where(_ok())
     if scale_label is None:
-        biggest = ok.agg(F.max("raw_rows").alias("_m"))
+        biggest = ok.agg(F.max("raw_rows").alias("_m"))  # a global aggregate: one row
         ok = ok.join(F.broadcast(biggest), F.col("raw_rows") == F.col("_m")).drop("_m")
     else:
         ok = ok.where(F.col("scale_label") == scale_label)
@@ -91,7 +93,7 @@ def stage_breakdown(runs: DataFrame, scale_label: str | None = None) -> DataFram
 
 def quality_series(runs: DataFrame) -> DataFrame:
     """drop %, null rate before and after, per framework and scale."""
-    return runs.where(_ok).select(
+    return runs.where(_ok()).select(
         "framework", "scale_label", "raw_rows",
         F.col("quality.drop_pct").alias("drop_pct"),
         F.col("quality.null_rate_before").alias("null_rate_before"),

@@ -8,7 +8,7 @@ combined map-side before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kassa.config import (AVG_DISCOUNT_DIGITS, CANCELLED_STATUS, DEFAULT, MONEY_DIGITS,
@@ -115,18 +115,16 @@ def revenue_band_dist(df: DataFrame, cfg: CleanConfig = DEFAULT) -> DataFrame:
     no band stay out of the denominator."""
     counts = (df.where(F.col("revenue_band").isNotNull())
                 .groupBy("revenue_band").agg(F.count(F.lit(1)).alias("transactions")))
-    total = counts.agg(F.coalesce(F.sum("transactions"), F.lit(0)).alias("_total"))
     # Band values come from the configured labels, so `counts` has at most
-    # len(band_labels) rows and `total` exactly one: both broadcasts are bounded
-    # by configuration, not by data.
+    # len(band_labels) rows (bounded by configuration, not by data): it is
+    # broadcast, and the total is a window over that bounded table.
     dim = band_dimension(df.sparkSession, cfg)
-    return (dim.join(F.broadcast(counts), "revenue_band", "left")
-            .crossJoin(F.broadcast(total))
-            .select("revenue_band", "band_rank",
-                    F.coalesce("transactions", F.lit(0)).alias("transactions"),
-                    percent(F.coalesce("transactions", F.lit(0)), F.col("_total"),
-                            RATE_DIGITS).alias("pct"))
-            .orderBy("band_rank"))
+    out = (dim.join(F.broadcast(counts), "revenue_band", "left")
+              .withColumn("transactions", F.coalesce("transactions", F.lit(0)).cast("long")))
+    total = F.sum("transactions").over(Window.partitionBy())
+    return (out.select("revenue_band", "band_rank", "transactions",
+                       percent(F.col("transactions"), total, RATE_DIGITS).alias("pct"))
+               .orderBy("band_rank"))
 
 
 def top_customers(df: DataFrame, cfg: CleanConfig = DEFAULT) -> DataFrame:

@@ -6,11 +6,12 @@ deterministic dirt from the supplier key (every row is kept; the ``%`` rules
 choose *values*, not rows). ``transaction_id`` collides naturally across
 orders, which exercises the keyed dedup.
 
-Join order is chosen for scale: the small geography (nation x region) is
-broadcast after a size check, customers are joined to orders first (orders is
-4x smaller than lineitem), so lineitem itself is shuffled only for the order
-join and the part join; AQE turns either into a broadcast at runtime when the
-other side is measured small.
+Join order is chosen for scale: the small geography (nation x region) joins
+customers, customers join orders first (orders is 4x smaller than lineitem),
+so lineitem itself is shuffled at most for the order join and the part join.
+Broadcasts are left to the planner's size check: a side is broadcast only when
+its measured size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE
+re-checks with runtime sizes), otherwise the join shuffles.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kassa.config import CleanConfig
-from kassa.operators.joins import broadcast_if_small
 
 TIE_BREAK_COLUMN = "_tb_extendedprice"
 
@@ -29,8 +29,17 @@ TABLES_CONFIG = CleanConfig(tie_breakers=(TIE_BREAK_COLUMN, "product_id"),
                             drop_after_dedup=(TIE_BREAK_COLUMN,))
 
 
+_READERS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table reader, made once per session and path (the file listing and
+    footer schema are read once; the DataFrame itself stays lazy)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _READERS:
+        _READERS[key] = spark.read.parquet(path)
+    return _READERS[key]
 
 
 def _every(col: str, n: int):
@@ -51,7 +60,10 @@ def transactions_from_tables(spark: SparkSession, sf_dir: str,
            .join(_read(spark, sf_dir, "region").select("r_regionkey", "r_name"),
                  F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "r_name"))
-    cust_geo = cust.join(broadcast_if_small(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    # nation x region is tiny; the planner broadcasts it by its measured size
+    # (spark.sql.autoBroadcastJoinThreshold), as it does the other sides when
+    # they are small, and falls back to a shuffle join when they are not.
+    cust_geo = cust.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
     orders_c = orders.join(cust_geo, F.col("o_custkey") == F.col("c_custkey"))
     rows = (li.join(orders_c, F.col("l_orderkey") == F.col("o_orderkey"))
               .join(part, F.col("l_partkey") == F.col("p_partkey")))
