@@ -51,7 +51,15 @@ def overall(df: DataFrame, median=None, cfg: CleanConfig = DEFAULT) -> DataFrame
         "median_order_value", round_money(med, MONEY_DIGITS))
 
 
-def distinct_counts(df: DataFrame, cfg: CleanConfig = DEFAULT) -> DataFrame:
+def distinct_counts(df: DataFrame, cfg: CleanConfig = DEFAULT,
+                    approx_error: float | None = None) -> DataFrame:
+    """Exact distinct customers and products (nulls excluded); with
+    ``approx_error`` a HyperLogLog++ estimate of that relative error instead
+    (fixed memory per task, no ``Expand``)."""
+    if approx_error is not None:
+        return df.agg(
+            F.approx_count_distinct(cfg.customer, approx_error).alias("unique_customers"),
+            F.approx_count_distinct(cfg.product, approx_error).alias("unique_products"))
     return df.agg(F.count_distinct(cfg.customer).alias("unique_customers"),
                   F.count_distinct(cfg.product).alias("unique_products"))
 

@@ -132,8 +132,10 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
         result = RunResult(metrics, clean_path, report_path, th,
                            spark.read.json(report_path))
     except Exception as exc:
-        metrics.update({"status": "ERROR", "error_msg": f"{type(exc).__name__}: {exc}"[:2000],
-                        "time_total_s": None})
+        text = f"{type(exc).__name__}: {exc}"
+        status = "FAILED (OOM)" if "OutOfMemoryError" in text or isinstance(exc, MemoryError) \
+            else "ERROR"
+        metrics.update({"status": status, "error_msg": text[:2000], "time_total_s": None})
         result = RunResult(metrics, clean_path, report_path)
         if metrics_path:
             append_run_metrics(metrics_frame(spark, [metrics]), metrics_path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from kassa.schema import RUN_METRICS_SCHEMA
@@ -16,3 +17,14 @@ def read_run_metrics(spark: SparkSession, path: str, pattern: str = "*_metrics_*
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.json(path)
+
+
+def load_run_metrics(spark: SparkSession, directory: str,
+                     combined: str = "combined_metrics.json") -> DataFrame:
+    """The run history of a metrics folder: the combined document (a JSON
+    array of runs) when present, else every ``*_metrics_*.json`` file."""
+    path = f"{directory.rstrip('/')}/{combined}"
+    try:
+        return spark.read.schema(RUN_METRICS_SCHEMA).option("multiLine", True).json(path)
+    except AnalysisException:  # no combined document: read the per-run files
+        return read_run_metrics(spark, directory)

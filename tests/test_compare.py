@@ -72,3 +72,15 @@ def test_summary_and_quality(runs):
     ranked = [r["time_total_s"] for r in compare.ranked_runs(runs).collect()
               if r["framework"] == "pyspark"]
     assert ranked == sorted(ranked)
+
+
+def test_load_run_metrics_prefers_combined(spark, tmp_path):
+    import json
+    from kassa.sources.metrics import load_run_metrics
+    one = {"framework": "pyspark", "scale_label": "10K", "time_total_s": 1.5, "raw_rows": 10}
+    (tmp_path / "pyspark_metrics_10K.json").write_text(json.dumps(one))
+    assert load_run_metrics(spark, str(tmp_path)).count() == 1
+    both = [one, dict(one, scale_label="100K", raw_rows=100)]
+    (tmp_path / "combined_metrics.json").write_text(json.dumps(both))
+    runs = load_run_metrics(spark, str(tmp_path))
+    assert sorted(r["scale_label"] for r in runs.collect()) == ["100K", "10K"]
