@@ -38,11 +38,13 @@ def enriched(raw: DataFrame, cfg: CleanConfig = DEFAULT) -> DataFrame:
     return enrich(cleaned(raw, cfg), cfg)
 
 
-def thresholds(enriched_df: DataFrame, cfg: CleanConfig = DEFAULT) -> Thresholds:
+def thresholds(enriched_df: DataFrame, cfg: CleanConfig = DEFAULT,
+               cache: bool = True) -> Thresholds:
     """High-value quantile and median of ``net_revenue`` over the clean rows,
-    computed together (exact unless ``cfg.quantile_error`` is set)."""
+    computed together (exact unless ``cfg.quantile_error`` is set).
+    ``cache=False`` when the input is already materialised."""
     q = quantiles(enriched_df, "net_revenue", [cfg.high_value_quantile, MEDIAN_QUANTILE],
-                  cfg.quantile_error)
+                  cfg.quantile_error, cache=cache)
     return Thresholds(q[cfg.high_value_quantile], q[MEDIAN_QUANTILE])
 
 

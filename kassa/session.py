@@ -26,6 +26,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.parquet.compression.codec", "snappy")
              .config("spark.driver.memory", "8g")
+             # One machine with memory to spare: skip compressing cached
+             # columns (a cluster keeps Spark's default).
+             .config("spark.sql.inMemoryColumnarStorage.compressed", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)
