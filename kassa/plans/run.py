@@ -32,6 +32,7 @@ from kassa.functions.columns import missing_cells
 from kassa.operators.clean import clean
 from kassa.operators.enrich import enrich
 from kassa.operators.normalize import prepare
+from kassa.operators.kpis import kpi_tables
 from kassa.operators.report import kpi_report
 from kassa.operators.quantile import quantiles
 from kassa.plans.stages import Thresholds, flag
@@ -79,10 +80,11 @@ def quality_dict(before: dict, after: dict, n_before: int, n_after: int) -> dict
 def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
                  cfg: CleanConfig = DEFAULT, framework: str = "kassa",
                  partition_by: tuple[str, ...] = (), metrics_path: str | None = None,
-                 raise_errors: bool = True) -> RunResult:
+                 kpi_tables_path: str | None = None, raise_errors: bool = True) -> RunResult:
     """Run the four stages on ``raw`` and write everything under ``target``:
     ``{target}/clean`` (Parquet), ``{target}/kpi_report`` (JSON). The metrics row
-    is appended to ``metrics_path`` when given. Errors are recorded in the
+    is appended to ``metrics_path`` when given; with ``kpi_tables_path`` every
+    KPI family is also written as its own Parquet table. Errors are recorded in the
     metrics with status ERROR, then re-raised (unless ``raise_errors=False``)."""
     clean_path, report_path = f"{target}/clean", f"{target}/kpi_report"
     t_all = time.perf_counter()
@@ -116,8 +118,11 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
 
         # 4. analytics: from the written table, one job for the whole report.
         t0 = time.perf_counter()
-        report = kpi_report(read_clean(spark, clean_path), th.median, cfg)
+        clean_back = read_clean(spark, clean_path, final.schema)
+        report = kpi_report(clean_back, th.median, cfg)
         write_report(report, report_path)
+        if kpi_tables_path:
+            write_kpi_tables(clean_back, th.median, kpi_tables_path, cfg)
         t_analytics = time.perf_counter() - t0
 
         quality = quality_dict(before, after, len(raw_cols), len(CLEAN_COLUMNS))
@@ -151,6 +156,12 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
     return result
 
 
+def write_kpi_tables(clean: DataFrame, median, path: str, cfg: CleanConfig = DEFAULT) -> None:
+    """Each KPI family as its own (distributed) Parquet table under ``path``."""
+    for name, table in kpi_tables(clean, median, cfg).items():
+        write_parquet(table, f"{path.rstrip('/')}/{name}")
+
+
 def metrics_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Run-metrics rows as a DataFrame with the declared schema."""
     names = [f.name for f in RUN_METRICS_SCHEMA.fields]

@@ -21,7 +21,7 @@ def run(spark, sf_small):
     target = scratch_path(spark, "pipeline")
     metrics = scratch_path(spark, "metrics")
     result = run_pipeline(spark, transactions_from_tables(spark, sf_small), target, "sf0.001",
-                          CFG, metrics_path=metrics)
+                          CFG, metrics_path=metrics, kpi_tables_path=f"{target}/kpis")
     return result, metrics
 
 
@@ -87,3 +87,11 @@ def test_error_is_recorded(spark):
     assert hist.first()["status"] == "ERROR"
     with pytest.raises(Exception):
         run_pipeline(spark, bad, scratch_path(spark, "bad2"), "bad", CFG)
+
+
+def test_kpi_tables_written(spark, run):
+    result, _ = run
+    base = result.clean_path.rsplit("/", 1)[0] + "/kpis"
+    cat = spark.read.parquet(f"{base}/category_revenue")
+    assert cat.count() == 6 and "avg_discount" in cat.columns
+    assert spark.read.parquet(f"{base}/top_customers").count() == 10
