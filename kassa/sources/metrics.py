@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from kassa.schema import RUN_METRICS_SCHEMA
@@ -22,9 +21,11 @@ def read_run_metrics(spark: SparkSession, path: str, pattern: str = "*_metrics_*
 def load_run_metrics(spark: SparkSession, directory: str,
                      combined: str = "combined_metrics.json") -> DataFrame:
     """The run history of a metrics folder: the combined document (a JSON
-    array of runs) when present, else every ``*_metrics_*.json`` file."""
-    path = f"{directory.rstrip('/')}/{combined}"
-    try:
-        return spark.read.schema(RUN_METRICS_SCHEMA).option("multiLine", True).json(path)
-    except AnalysisException:  # no combined document: read the per-run files
-        return read_run_metrics(spark, directory)
+    array of runs) when present, else every ``*_metrics_*.json`` document plus
+    the JSON-lines files appended by ``sinks.append_run_metrics``."""
+    whole = read_run_metrics(spark, directory, combined)
+    if not whole.isEmpty():  # a small document: the check reads at most one run
+        return whole
+    per_run = read_run_metrics(spark, directory)                      # one document each
+    appended = read_run_metrics(spark, directory, "part-*.json", multiline=False)  # our sink
+    return per_run.unionByName(appended)
