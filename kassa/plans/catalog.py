@@ -16,12 +16,12 @@ from kassa.operators import kpis
 from kassa.operators.clean import (clip_discount, dedup, drop_critical_nulls, fill_defaults,
                                    positive_filter)
 from kassa.operators.dedup import exact_dedup
-from kassa.operators.enrich import calendar_parts, enrich, revenue_columns
+from kassa.operators.enrich import calendar_parts, revenue_columns
 from kassa.operators.normalize import normalize_na_tokens, parse_timestamps, prepare
 from kassa.operators.quality import null_profile, quality_report
 from kassa.operators.quantile import approx_quantiles
 from kassa.operators.replicate import replicate
-from kassa.plans.stages import cleaned, enriched, flag, thresholds
+from kassa.plans.stages import enriched, flag, thresholds
 from kassa.schema import CLEAN_COLUMNS, RAW_COLUMNS, RAW_SCHEMA
 from kassa.session import scratch_path
 from kassa.sinks.files import write_csv, write_parquet
@@ -300,4 +300,4 @@ def queries() -> dict[str, Query]:
     }
 
 
-__all__ = ["queries", "cleaned", "enrich"]
+__all__ = ["queries"]

@@ -5,8 +5,10 @@ Plan, per run:
 * one scan of the source; the raw profile (rows, missing cells) is folded
   into that scan with ``DataFrame.observe`` instead of extra passes;
 * one shuffle for the keyed dedup (exact-row dedup is implied by it);
-* one cache fill of the enriched table (``MEMORY_AND_DISK``; lost blocks are
-  recomputed from lineage, never ``localCheckpoint``);
+* one materialisation of the enriched table: a cache fill
+  (``MEMORY_AND_DISK``; lost blocks are recomputed from lineage, never
+  ``localCheckpoint``) or, with ``staging="table"``, a Parquet table in the
+  target store;
 * the exact quantiles read the cached column;
 * the flagged table is written once as Parquet, with the clean-side profile
   observed during the write;
@@ -80,11 +82,19 @@ def quality_dict(before: dict, after: dict, n_before: int, n_after: int) -> dict
 def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
                  cfg: CleanConfig = DEFAULT, framework: str = "kassa",
                  partition_by: tuple[str, ...] = (), metrics_path: str | None = None,
-                 kpi_tables_path: str | None = None, raise_errors: bool = True) -> RunResult:
+                 kpi_tables_path: str | None = None, staging: str = "cache",
+                 raise_errors: bool = True) -> RunResult:
     """Run the four stages on ``raw`` and write everything under ``target``:
     ``{target}/clean`` (Parquet), ``{target}/kpi_report`` (JSON). The metrics row
     is appended to ``metrics_path`` when given; with ``kpi_tables_path`` every
-    KPI family is also written as its own Parquet table. Errors are recorded in the
+    KPI family is also written as its own Parquet table.
+
+    ``staging`` picks how the enriched table is materialised between the
+    quantile passes and the final write: ``"cache"`` (``MEMORY_AND_DISK``) or
+    ``"table"`` (written once under ``{target}/_staged`` and read back: the
+    quantile passes then read one Parquet column, and nothing is held in
+    executor memory - for inputs far larger than the cluster's memory).
+    Errors are recorded in the
     metrics with status ERROR, then re-raised (unless ``raise_errors=False``)."""
     clean_path, report_path = f"{target}/clean", f"{target}/kpi_report"
     t_all = time.perf_counter()
@@ -98,10 +108,17 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
         prepared, before_obs = _observed(prepare(raw, cfg), "before", raw_cols)
         t_extract = time.perf_counter() - t0
 
-        # 2. transform: dedup, clean, enrich, cached once; quantiles from the cache.
+        # 2. transform: dedup, clean, enrich, materialised once; quantiles read it.
         t0 = time.perf_counter()
-        staged = enrich(clean(prepared, cfg), cfg).persist(StorageLevel.MEMORY_AND_DISK)
-        q = quantiles(staged, "net_revenue", [cfg.high_value_quantile, MEDIAN_QUANTILE],
+        enriched_df = enrich(clean(prepared, cfg), cfg)
+        if staging == "table":
+            staged_path = f"{target}/_staged"
+            write_parquet(enriched_df, staged_path)
+            staged_table = read_clean(spark, staged_path, enriched_df.schema)
+        else:
+            staged = enriched_df.persist(StorageLevel.MEMORY_AND_DISK)
+            staged_table = staged
+        q = quantiles(staged_table, "net_revenue", [cfg.high_value_quantile, MEDIAN_QUANTILE],
                       cfg.quantile_error, cache=False)
         th = Thresholds(q[cfg.high_value_quantile], q[MEDIAN_QUANTILE])
         before = before_obs.get
@@ -109,11 +126,12 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
 
         # 3. load: flag and write; the clean profile is observed during the write.
         t0 = time.perf_counter()
-        final, after_obs = _observed(flag(staged, th), "after", CLEAN_COLUMNS)
+        final, after_obs = _observed(flag(staged_table, th), "after", CLEAN_COLUMNS)
         write_parquet(final, clean_path, partition_by=partition_by)
         after = after_obs.get
-        staged.unpersist()
-        staged = None
+        if staged is not None:
+            staged.unpersist()
+            staged = None
         t_load = time.perf_counter() - t0
 
         # 4. analytics: from the written table, one job for the whole report.

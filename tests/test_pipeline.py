@@ -95,3 +95,13 @@ def test_kpi_tables_written(spark, run):
     cat = spark.read.parquet(f"{base}/category_revenue")
     assert cat.count() == 6 and "avg_discount" in cat.columns
     assert spark.read.parquet(f"{base}/top_customers").count() == 10
+
+
+def test_table_staging_gives_the_same_result(spark, run, sf_small):
+    result, _ = run
+    other = run_pipeline(spark, transactions_from_tables(spark, sf_small),
+                         scratch_path(spark, "pipeline-table"), "sf0.001", CFG, staging="table")
+    assert other.metrics["quality"] == result.metrics["quality"]
+    a = spark.read.parquet(result.clean_path)
+    b = spark.read.parquet(other.clean_path)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
