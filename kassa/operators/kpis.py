@@ -121,11 +121,13 @@ def band_dimension(spark: SparkSession, cfg: CleanConfig = DEFAULT) -> DataFrame
 def revenue_band_dist(df: DataFrame, cfg: CleanConfig = DEFAULT) -> DataFrame:
     """Share of each band in percent (2 dp). Empty bands report 0.0; rows with
     no band stay out of the denominator."""
-    counts = (df.where(F.col("revenue_band").isNotNull())
-                .groupBy("revenue_band").agg(F.count(F.lit(1)).alias("transactions")))
+    counts = df.groupBy("revenue_band").agg(F.count(F.lit(1)).alias("transactions"))
     # Band values come from the configured labels, so `counts` has at most
-    # len(band_labels) rows (bounded by configuration, not by data): it is
-    # broadcast, and the total is a window over that bounded table.
+    # len(band_labels) + 1 rows (bounded by configuration, not by data): it is
+    # broadcast, and the total is a window over that bounded table. The left
+    # join from the configured bands drops the group of rows without a band
+    # (filtering before the aggregate would make Catalyst evaluate the band
+    # expression twice).
     dim = band_dimension(df.sparkSession, cfg)
     out = (dim.join(F.broadcast(counts), "revenue_band", "left")
               .withColumn("transactions", F.coalesce("transactions", F.lit(0)).cast("long")))
