@@ -60,6 +60,17 @@ def _observed(df: DataFrame, name: str, columns) -> tuple[DataFrame, Observation
     return df.observe(obs, F.count(F.lit(1)).alias("rows"), nulls.alias("nulls")), obs
 
 
+def _observed_value(obs: Observation, df: DataFrame, columns) -> dict:
+    """The observed metrics; if the optimizer proved the plan empty and pruned
+    the observation away, the same two numbers by a direct (trivial) pass."""
+    try:
+        return obs.get
+    except Exception:
+        row = df.agg(F.count(F.lit(1)).alias("rows"),
+                     missing_cells(df.schema, columns).alias("nulls")).first()
+        return row.asDict()
+
+
 def _pct(part: int, whole: int, digits: int) -> float:
     if whole <= 0:
         return 0.0
@@ -121,14 +132,14 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
         q = quantiles(staged_table, "net_revenue", [cfg.high_value_quantile, MEDIAN_QUANTILE],
                       cfg.quantile_error, cache=False)
         th = Thresholds(q[cfg.high_value_quantile], q[MEDIAN_QUANTILE])
-        before = before_obs.get
+        before = _observed_value(before_obs, prepared, raw_cols)
         t_transform = time.perf_counter() - t0
 
         # 3. load: flag and write; the clean profile is observed during the write.
         t0 = time.perf_counter()
         final, after_obs = _observed(flag(staged_table, th), "after", CLEAN_COLUMNS)
         write_parquet(final, clean_path, partition_by=partition_by)
-        after = after_obs.get
+        after = _observed_value(after_obs, final, CLEAN_COLUMNS)
         if staged is not None:
             staged.unpersist()
             staged = None

@@ -105,3 +105,24 @@ def test_table_staging_gives_the_same_result(spark, run, sf_small):
     a = spark.read.parquet(result.clean_path)
     b = spark.read.parquet(other.clean_path)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_everything_dropped_gives_zero_kpis(spark):
+    from kassa.config import DEFAULT
+    from kassa.sources.generate import generate_transactions
+    raw = generate_transactions(spark, 200).withColumn("price", -F.col("price"))
+    result = run_pipeline(spark, raw, scratch_path(spark, "empty"), "empty", DEFAULT)
+    m = result.metrics
+    assert m["status"] == "SUCCESS" and m["clean_rows"] == 0
+    assert m["quality"]["drop_pct"] == 100.0 and m["quality"]["null_rate_after"] == 0.0
+    doc = result.report.first()
+    assert doc["total_transactions"] == 0 and doc["total_net_revenue"] == 0.0
+    assert doc["median_order_value"] == 0.0 and doc["cancellation_rate"] == 0.0
+
+
+def test_statically_empty_input(spark):
+    from kassa.config import DEFAULT
+    from kassa.sources.generate import generate_transactions
+    raw = generate_transactions(spark, 50).withColumn("price", F.lit(-1.0))  # folded away
+    result = run_pipeline(spark, raw, scratch_path(spark, "folded"), "folded", DEFAULT)
+    assert result.metrics["raw_rows"] == 50 and result.metrics["clean_rows"] == 0

@@ -9,6 +9,8 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from kassa.operators.quantile import exact_quantiles, order_statistics
 
@@ -71,3 +73,13 @@ def test_rejects_bad_arguments(spark):
         exact_quantiles(df, "x", [1.5])
     with pytest.raises(ValueError):
         order_statistics(df, "x", [3])
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.integers(min_value=-10**9, max_value=10**9), min_size=1, max_size=300),
+       p=st.floats(min_value=0.0, max_value=1.0), buckets=st.integers(min_value=2, max_value=50))
+def test_quantiles_property(spark, values, p, buckets):
+    decs = [Decimal(v) / 1000 for v in values]
+    df = spark.createDataFrame([(d,) for d in decs], "x decimal(18,6)")
+    p = round(p, 3)
+    assert exact_quantiles(df, "x", [p], buckets=buckets)[p] == _brute(decs, p)
