@@ -105,8 +105,11 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
     ``"table"`` (written once under ``{target}/_staged`` and read back: the
     quantile passes then read one Parquet column, and nothing is held in
     executor memory - for inputs far larger than the cluster's memory).
-    Errors are recorded in the
-    metrics with status ERROR, then re-raised (unless ``raise_errors=False``)."""
+
+    Errors are recorded in the metrics with status ERROR (or FAILED (OOM)),
+    then re-raised unless ``raise_errors=False``."""
+    if staging not in ("cache", "table"):
+        raise ValueError("staging is 'cache' or 'table'")
     clean_path, report_path = f"{target}/clean", f"{target}/kpi_report"
     t_all = time.perf_counter()
     metrics: dict = {"framework": framework, "scale_label": label,
