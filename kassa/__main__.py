@@ -1,8 +1,9 @@
 """Command line: ``spark-submit -m kassa ...`` or ``python -m kassa ...``.
 
-  run      CSV transactions -> clean Parquet + KPI report (+ run metrics)
-  generate synthetic transactions for named scales, as CSV
-  compare  speed-up / throughput / stage tables from a run-metrics folder
+  run        CSV transactions -> clean Parquet + KPI report (+ run metrics)
+  generate   synthetic transactions for named scales, as CSV
+  benchmark  generate and run each named scale in one session, then compare
+  compare    summary / speed-up / throughput / stage tables of a run-metrics folder
 """
 
 from __future__ import annotations
@@ -41,6 +42,11 @@ def main(argv: list[str] | None = None) -> int:
     gen.add_argument("scales", nargs="*", default=list(SCALES), choices=list(SCALES))
     gen.add_argument("--seed", type=int, default=42)
 
+    bench = sub.add_parser("benchmark", help="generate + run each scale, then compare")
+    bench.add_argument("work_dir", help="data/, out/ and metrics/ go here")
+    bench.add_argument("scales", nargs="*", default=list(SCALES), choices=list(SCALES))
+    bench.add_argument("--seed", type=int, default=42)
+
     cmp_ = sub.add_parser("compare", help="tables over a run-metrics folder")
     cmp_.add_argument("metrics")
     cmp_.add_argument("--baseline", default="pandas")
@@ -64,17 +70,37 @@ def main(argv: list[str] | None = None) -> int:
         spark = _session("kassa-generate")
         for scale in args.scales:
             print(generate_dataset(spark, scale, args.out_dir, seed=args.seed))
+    elif args.cmd == "benchmark":
+        from kassa.plans.run import run_pipeline
+        from kassa.sources.csv import read_transactions_csv
+        from kassa.sources.generate import generate_dataset
+        spark = _session("kassa-benchmark")
+        work = args.work_dir.rstrip("/")
+        for scale in args.scales:  # smaller scales first, in one session
+            label = SCALES[scale][1]
+            path = generate_dataset(spark, scale, f"{work}/data", seed=args.seed)
+            result = run_pipeline(spark, read_transactions_csv(spark, path),
+                                  f"{work}/out/{label}", label, framework="pyspark",
+                                  metrics_path=f"{work}/metrics/runs", raise_errors=False)
+            print(json.dumps(result.metrics, default=str))
+        _compare(spark, f"{work}/metrics", "pandas", "pyspark")
     else:
-        from kassa.operators import compare
-        from kassa.sources.metrics import load_run_metrics
         spark = _session("kassa-compare")
-        runs = load_run_metrics(spark, args.metrics)
-        compare.summary_table(runs).show(truncate=False)
-        compare.speedup(runs, args.baseline, args.candidate).show(truncate=False)
-        compare.throughput(runs).show(truncate=False)
-        compare.stage_breakdown(runs).show(truncate=False)
+        _compare(spark, args.metrics, args.baseline, args.candidate)
     return 0
 
 
+def _compare(spark: SparkSession, metrics_dir: str, baseline: str, candidate: str) -> None:
+    from kassa.operators import compare
+    from kassa.sources.metrics import load_run_metrics, read_run_metrics
+    runs = load_run_metrics(spark, metrics_dir)
+    if runs.isEmpty():  # the benchmark's own history lives one folder down
+        runs = read_run_metrics(spark, f"{metrics_dir}/runs", "part-*.json", multiline=False)
+    compare.summary_table(runs).show(truncate=False)
+    compare.speedup(runs, baseline, candidate).show(truncate=False)
+    compare.throughput(runs).show(truncate=False)
+    compare.stage_breakdown(runs).show(truncate=False)
+
+
 if __name__ == "__main__":
     sys.exit(main())
