@@ -19,7 +19,9 @@ def tx(spark, sf_small):
 
 @pytest.fixture(scope="module")
 def clean(tx):
-    return enriched(tx, CFG).cache()
+    df = enriched(tx, CFG).cache()
+    yield df
+    df.unpersist()  # later modules inspect the uncached plan
 
 
 def _rows(df):
