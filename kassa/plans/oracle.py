@@ -146,7 +146,7 @@ def _null_profile_select(src: str) -> str:
     counts = []
     for c in RAW_COLUMNS:
         cond = f"{_q(c)} IS NULL" + (f" OR isnan({_q(c)})" if c in DOUBLE_COLUMNS else "")
-        counts.append(f"count_if({cond}) AS null_{c}")
+        counts.append(f"CAST(count_if({cond}) AS BIGINT) AS null_{c}")
     total = " + ".join(f"count_if({_q(c)} IS NULL"
                        + (f" OR isnan({_q(c)})" if c in DOUBLE_COLUMNS else "") + ")"
                        for c in RAW_COLUMNS)
@@ -227,6 +227,15 @@ FROM (SELECT transaction_id,
   FROM transactions) t"""
 
 
+MONEY_COLUMNS = ("gross_revenue", "discount_amt", "net_revenue")
+
+
+def _money_as_double(select: str, columns=MONEY_COLUMNS) -> str:
+    """Report the exact decimal money columns as DOUBLE (as the queries do)."""
+    cast = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({cast}) FROM ({select}) q"
+
+
 def oracle_sql() -> dict[str, str]:
     raw = _cols(RAW_COLUMNS)
     quality_after_cols = CLEAN_COLUMNS
@@ -240,15 +249,15 @@ def oracle_sql() -> dict[str, str]:
         "fill_defaults": _with("SELECT * FROM filled"),
         "positive_filter": _with("SELECT * FROM positive"),
         "clip_discount": _with("SELECT * FROM clipped"),
-        "revenue_columns": _with("SELECT * FROM revenue"),
-        "calendar_parts": _with("SELECT * FROM calendar"),
+        "revenue_columns": _with(_money_as_double("SELECT * FROM revenue")),
+        "calendar_parts": _with(_money_as_double("SELECT * FROM calendar")),
         "day_of_week": _with('SELECT transaction_id, "timestamp", dow AS dow_sunday, '
                              'CAST(isodow("timestamp") - 1 AS INTEGER) AS dow_monday '
                              'FROM calendar'),
-        "revenue_band": _with("SELECT * FROM enriched"),
-        "high_value_flag": _with("SELECT transaction_id, net_revenue, is_high_value "
-                                 "FROM clean_table"),
-        "clean_table": _with(f"SELECT {_cols(CLEAN_COLUMNS)} FROM clean_table"),
+        "revenue_band": _with(_money_as_double("SELECT * FROM enriched")),
+        "high_value_flag": _with("SELECT transaction_id, CAST(net_revenue AS DOUBLE) AS net_revenue, "
+                                 "is_high_value FROM clean_table"),
+        "clean_table": _with(_money_as_double(f"SELECT {_cols(CLEAN_COLUMNS)} FROM clean_table")),
         "null_profile": _with(_null_profile_select("prepared")),
         "quality_report": _with(f"""SELECT b.rows_before, a.rows_after,
   b.rows_before - a.rows_after AS rows_dropped,
@@ -290,6 +299,7 @@ FROM enriched GROUP BY category"""),
             f"GROUP BY customer_id ORDER BY SUM(net_revenue) DESC, customer_id ASC NULLS FIRST "
             f"LIMIT {TOP_CUSTOMERS}"),
         "replicate_union": _replicate_select(3),
-        "csv_round_trip": _with("SELECT * FROM enriched"),
-        "parquet_round_trip": _with(f"SELECT {_cols(CLEAN_COLUMNS)} FROM clean_table"),
+        "csv_round_trip": _with(_money_as_double("SELECT * FROM enriched")),
+        "parquet_round_trip": _with(_money_as_double(
+            f"SELECT {_cols(CLEAN_COLUMNS)} FROM clean_table")),
     }
