@@ -36,6 +36,10 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--kpi-tables", action="store_true", help="also one Parquet table per KPI")
     run.add_argument("--approx-quantiles", type=float, metavar="ERR",
                      help="approximate p90/median with this rank error")
+    run.add_argument("--partition-by", default="",
+                     help="comma-separated sink partition columns, e.g. year,month")
+    run.add_argument("--staging", choices=("cache", "table"), default="cache",
+                     help="materialise the enriched table in memory or as a table")
 
     gen = sub.add_parser("generate", help="write synthetic transactions as CSV")
     gen.add_argument("out_dir")
@@ -63,7 +67,9 @@ def main(argv: list[str] | None = None) -> int:
         cfg = replace(DEFAULT, quantile_error=args.approx_quantiles)
         result = run_pipeline(spark, read_transactions_csv(spark, args.input), args.target,
                               args.label, cfg, metrics_path=args.metrics,
-                              kpi_tables_path=f"{args.target}/kpis" if args.kpi_tables else None)
+                              kpi_tables_path=f"{args.target}/kpis" if args.kpi_tables else None,
+                              partition_by=tuple(c for c in args.partition_by.split(",") if c),
+                              staging=args.staging)
         print(json.dumps(result.metrics, default=str))
     elif args.cmd == "generate":
         from kassa.sources.generate import generate_dataset
