@@ -22,7 +22,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -32,7 +31,7 @@ from pyspark.sql import types as T  # noqa: E402
 from kassa.plans import catalog  # noqa: E402
 from kassa.plans.run import run_pipeline  # noqa: E402
 from kassa.schema import RAW_SCHEMA  # noqa: E402
-from kassa.session import local_session  # noqa: E402
+from kassa.session import local_session, scratch_path  # noqa: E402
 from kassa.sinks.files import write_csv  # noqa: E402
 from kassa.sources.csv import read_transactions_csv  # noqa: E402
 from kassa.sources.generate import generate_transactions  # noqa: E402
@@ -52,7 +51,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8,
                           app="kassa-bench")
-    work = tempfile.mkdtemp(prefix="kassa-bench-")
+    work = scratch_path(spark, "bench")  # under the shared folder (spark.checkpoint.dir)
     schema = T.StructType(RAW_SCHEMA.fields + [T.StructField(TIE_BREAK_COLUMN, T.DoubleType())])
 
     # Untimed: CSV copies of the transactions, then the smaller scales run

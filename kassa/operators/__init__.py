@@ -1,5 +1,7 @@
 """DataFrame -> DataFrame operators."""
 
+from kassa.operators import compare, kpis, report
+
 from kassa.operators.clean import (clean, clip_discount, dedup, drop_critical_nulls,
                                    fill_defaults, positive_filter)
 from kassa.operators.dedup import dedup_by_key, exact_dedup
@@ -12,6 +14,7 @@ from kassa.operators.quantile import (approx_quantiles, exact_quantiles, order_s
 from kassa.operators.replicate import replicate
 
 __all__ = [
+    "compare", "kpis", "report",
     "approx_quantiles", "calendar_parts", "clean", "clip_discount", "dedup",
     "dedup_by_key", "drop_critical_nulls", "enrich", "exact_dedup", "exact_quantiles",
     "fill_defaults", "high_value_flag", "normalize_na_tokens", "null_profile",
