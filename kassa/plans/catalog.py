@@ -46,7 +46,10 @@ def _deduped(spark, sf):
 
 
 def _critical(spark, sf):
-    return drop_critical_nulls(_deduped(spark, sf), CFG.critical)
+    # The key is critical: null keys leave before the dedup shuffle (same
+    # result, and a hot null key never reaches the exchange).
+    keyed = _prepared(spark, sf).where(F.col(CFG.key).isNotNull())
+    return drop_critical_nulls(dedup(keyed, CFG), CFG.critical)
 
 
 def _filled(spark, sf):
@@ -70,8 +73,9 @@ def _staged(spark, sf):
     data-wide quantile passes and the flagged table then read Parquet (a
     lineage cut, column pruning) instead of re-running joins and dedup."""
     path = scratch_path(spark, "enriched")
-    write_parquet(_enriched(spark, sf), path)
-    return read_clean(spark, path)
+    e = _enriched(spark, sf)
+    write_parquet(e, path)
+    return read_clean(spark, path, e.schema)
 
 
 def _clean_table(spark, sf):
