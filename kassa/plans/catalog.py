@@ -21,6 +21,7 @@ from kassa.operators.normalize import normalize_na_tokens, parse_timestamps, pre
 from kassa.operators.quality import null_profile, quality_report
 from kassa.operators.quantile import approx_quantiles
 from kassa.operators.replicate import replicate
+from kassa.operators.report import kpi_report
 from kassa.plans.stages import enriched, flag, thresholds
 from kassa.schema import CLEAN_COLUMNS, RAW_COLUMNS, RAW_SCHEMA
 from kassa.session import scratch_path
@@ -238,6 +239,13 @@ def approx_quantiles_q(spark, sf):
         F.lit(q[CFG.high_value_quantile]).cast("double").alias("p90_approx"))
 
 
+def kpi_report_q(spark, sf):
+    """The one-row KPI document (nested arrays): rows-only in the driver's
+    check; its numbers are tested against the oracle-checked KPI tables."""
+    ct, th = _clean_table(spark, sf)
+    return kpi_report(ct, th.median, CFG)
+
+
 # --- set operations and round trips -----------------------------------------
 
 def replicate_union(spark, sf):
@@ -316,6 +324,7 @@ def _queries() -> dict[str, Query]:
         "revenue_band_dist": revenue_band_dist_q,
         "top_customers": top_customers_q,
         "approx_quantiles": approx_quantiles_q,
+        "kpi_report": kpi_report_q,
         "replicate_union": replicate_union,
         "csv_round_trip": csv_round_trip,
         "parquet_round_trip": parquet_round_trip,
