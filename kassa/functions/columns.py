@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kassa.config import MONEY_TYPE
+from kassa.config import MONEY_TYPE, TIMESTAMP_FORMAT
 
 
 def _c(col: str | Column) -> Column:
@@ -37,16 +37,26 @@ def na_to_null(col: str | Column, tokens: Sequence[str]) -> Column:
     return F.when(col.isin(list(tokens)), F.lit(None).cast("string")).otherwise(col)
 
 
-def tolerant_timestamp(col: str | Column, fmt: str) -> Column:
+# The shape of TIMESTAMP_FORMAT text; with the range checks of the cast to
+# timestamp_ntz it accepts exactly what the formatter accepts (tested).
+_SECOND_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
+
+
+def tolerant_timestamp(col: str | Column, fmt: str = TIMESTAMP_FORMAT) -> Column:
     """Text to ``timestamp_ntz``: the first 19 characters must match ``fmt``
     (so sub-second tails are cut), anything else is null.
 
     The validated text is cast to ``timestamp_ntz`` directly, so the result
-    never depends on the session time zone.
+    never depends on the session time zone. For the standard format the check
+    is a shape match plus the cast's own range checks (cheaper than a
+    formatter). Another fixed-width ``fmt`` is parsed by the formatter on the
+    first ``len(fmt)`` characters and read as wall-clock time.
     """
-    head = F.substring(_c(col), 1, 19)
-    valid = F.try_to_timestamp(head, F.lit(fmt)).isNotNull()
-    return F.when(valid, head).try_cast(T.TimestampNTZType())
+    if fmt == TIMESTAMP_FORMAT:
+        head = F.substring(_c(col), 1, 19)
+        return F.when(head.rlike(_SECOND_TEXT), head).try_cast(T.TimestampNTZType())
+    head = F.substring(_c(col), 1, len(fmt))
+    return F.try_to_timestamp(head, F.lit(fmt)).cast(T.TimestampNTZType())
 
 
 def is_missing(col: str, dtype: T.DataType) -> Column:
