@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kassa.llm.decontaminate import op3_decontaminate
+from kassa.llm.langid import op9_language_id
 from kassa.llm.quality import op10_quality_rules
+from kassa.llm.token_files import op5_token_files
+from kassa.llm.warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_decontaminate": op3_decontaminate,
+    "op5_token_files": op5_token_files,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -39,6 +45,21 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(sha, {5 * g + 1}, 5))::INT >> {s} & 31) + 1, 1)"
+    for g in range(8) for s in (15, 10, 5, 0))
+
+OP1_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha
+           FROM pages),
+g AS (SELECT sha, max(page_id) AS top FROM p GROUP BY sha)
+SELECT page_id, payload_bytes, {_B32} AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN g USING (sha)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
 }
