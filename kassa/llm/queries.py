@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kassa.llm.decontaminate import op3_decontaminate
+from kassa.llm.jaccard import op7_jaccard_join
 from kassa.llm.langid import op9_language_id
 from kassa.llm.quality import op10_quality_rules
 from kassa.llm.token_files import op5_token_files
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_decontaminate": op3_decontaminate,
     "op5_token_files": op5_token_files,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -59,7 +61,25 @@ SELECT page_id, payload_bytes, {_B32} AS payload_digest,
 FROM p JOIN g USING (sha)
 """
 
+_SPACE = r"[^\x20\x09-\x0D]+"
+
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACE}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o
+      FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+      WHERE 100 * o >= 75 * (a.n + b.n - o)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents
+      UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = d.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
+    "op7_jaccard_join": OP7_SQL,
 }
