@@ -10,6 +10,7 @@ from kassa.llm.decontaminate import op3_decontaminate
 from kassa.llm.jaccard import op7_jaccard_join
 from kassa.llm.langid import op9_language_id
 from kassa.llm.quality import op10_quality_rules
+from kassa.llm.repeats import op6_substring_dedup
 from kassa.llm.token_files import op5_token_files
 from kassa.llm.warc import op1_warc
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_decontaminate": op3_decontaminate,
     "op5_token_files": op5_token_files,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
@@ -78,8 +80,23 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = d.doc_id
 """
 
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM win JOIN twice USING (g)),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(gone.p) AS n_removed,
+           coalesce(string_agg(x, ' ' ORDER BY p) FILTER (gone.p IS NULL), '') AS t
+         FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op7_jaccard_join": OP7_SQL,
 }
