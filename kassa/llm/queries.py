@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kassa.llm.decontaminate import op3_decontaminate
 from kassa.llm.jaccard import op7_jaccard_join
 from kassa.llm.langid import op9_language_id
+from kassa.llm.pieces import op2_sentencepiece
 from kassa.llm.quality import op10_quality_rules
 from kassa.llm.repeats import op6_substring_dedup
 from kassa.llm.token_files import op5_token_files
@@ -16,6 +17,7 @@ from kassa.llm.warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op5_token_files": op5_token_files,
     "op6_substring_dedup": op6_substring_dedup,
