@@ -35,7 +35,7 @@ from kassa.llm.words import _P, _PI, _ranges_hash, ragged
 
 MARK = "▁"
 LONG = 200                      # characters of a chunk that relaxes through a heap
-BLOCK_BYTES = 12 << 20          # text indexed at once
+BLOCK_BYTES = 4 << 20          # text indexed at once
 _NO_RANK = np.int64(1 << 40)
 
 
@@ -58,7 +58,7 @@ class Vocabulary:
         names = [p.piece for p in spec.pieces]
         plain = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.ids = np.array(plain)
-        self.points = [np.frombuffer(names[i].encode("utf-32-le"), np.uint32) for i in plain]
+        self.points = [np.frombuffer(names[i].encode("utf-32-le"), np.uint32) + np.uint32(1) for i in plain]
         self.lengths = np.array([len(p) for p in self.points])
         scores = np.array([spec.pieces[i].score for i in plain])
         self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)   # 0: best
@@ -81,26 +81,31 @@ class Vocabulary:
 
 
 class SuffixArray:
-    """Suffixes of a code-point text sorted to a depth, never across chunks."""
+    """Suffixes of a code-point text (0: between chunks) sorted to a depth.
+    A pattern holds no 0, so no match reaches across chunks."""
 
-    def __init__(self, points: np.ndarray, chunk_end: np.ndarray, depth: int):
+    def __init__(self, points: np.ndarray, depth: int):
         self.alphabet, dense = np.unique(points, return_inverse=True)
+        self.base = 0 if len(self.alphabet) and self.alphabet[0] == 0 else 1
         self.bits = max(1, int(len(self.alphabet)).bit_length())
-        self.per_key = min(depth, 64 // self.bits)
-        self.depth = depth
+        self.per_key = 1 << (64 // self.bits).bit_length() - 1        # characters of a key: a power of two
+        self.depth = -(-depth // self.per_key) * self.per_key
         n = len(points)
-        padded = np.zeros(n + depth, dtype=np.uint64)
-        padded[:n] = dense + 1                       # 0: past the end of the chunk
-        left = chunk_end - np.arange(n)
-        self.keys = []
-        for lo in range(0, depth, self.per_key):
-            key = np.zeros(n, dtype=np.uint64)
-            for j in range(lo, lo + self.per_key):
-                key <<= np.uint64(self.bits)
-                if j < depth:
-                    key |= np.where(left > j, padded[j:j + n], np.uint64(0))
-            self.keys.append(key)
-        self.order = np.lexsort(self.keys[::-1])
+        key = np.zeros(n + 2 * self.depth, dtype=np.uint64)
+        key[:n] = dense + self.base
+        have = 1
+        while have < self.per_key:
+            key[:-have] = key[:-have] << np.uint64(self.bits * have) | key[have:]
+            have *= 2
+        self.keys = [key[lo:lo + n] for lo in range(0, self.depth, self.per_key)]
+        self.order = np.argsort(self.keys[0])
+        # Suffixes that agree in the first key, by the others.
+        first = self.keys[0][self.order]
+        new = np.append(True, first[1:] != first[:-1]) if n else np.empty(0, bool)
+        run = np.cumsum(new)
+        tied = np.flatnonzero(~new | np.append(~new[1:], False))
+        own = self.order[tied]
+        self.order[tied] = own[np.lexsort([*(k[own] for k in self.keys[:0:-1]), run[tied]])]
         self.keys = [k[self.order] for k in self.keys]
 
     def _pattern(self, points: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -109,7 +114,7 @@ class SuffixArray:
         inside = np.zeros((len(points), self.depth), dtype=bool)
         size = np.array([len(p) for p in points])
         inside[np.arange(self.depth) < size[:, None]] = True
-        codes[inside] = np.searchsorted(self.alphabet, np.concatenate(points)).astype(np.uint64) + np.uint64(1)
+        codes[inside] = np.searchsorted(self.alphabet, np.concatenate(points)).astype(np.uint64) + np.uint64(self.base)
         top = np.uint64((1 << self.bits) - 1)
         least, most = [], []
         for lo in range(0, self.depth, self.per_key):
@@ -118,9 +123,8 @@ class SuffixArray:
             for j in range(lo, lo + self.per_key):
                 a <<= np.uint64(self.bits)
                 b <<= np.uint64(self.bits)
-                if j < self.depth:
-                    a |= codes[:, j]
-                    b |= np.where(inside[:, j], codes[:, j], top)
+                a |= codes[:, j]
+                b |= np.where(inside[:, j], codes[:, j], top)
             least.append(a)
             most.append(b)
         return least, most
@@ -153,58 +157,47 @@ class Encoder:
         self.all_points = np.concatenate(vocabulary.points)
         self.piece_of_point = np.repeat(np.arange(len(vocabulary.points)), vocabulary.lengths)
 
-    def _edges(self, points: np.ndarray, chunk_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges sorted by place: keys place * depth + length - 1, and pieces."""
+    def _edges(self, points: np.ndarray) -> np.ndarray:
+        """The piece of every edge in order of place and length, -1 where there
+        is none: a distribution sort of the ranges found."""
         v = self.v
-        index = SuffixArray(points, chunk_end, v.depth)
+        index = SuffixArray(points, v.depth)
         missing = ~np.isin(self.all_points, index.alphabet)
         usable = np.ones(len(v.points), dtype=bool)
         usable[self.piece_of_point[missing]] = False
         usable = np.flatnonzero(usable)
-        if not len(usable):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        first, last = index.ranges([v.points[i] for i in usable])
-        count = last - first
-        place = index.order[ragged(first, count)]
-        piece = np.repeat(usable, count)
-        key = place * v.depth + (v.lengths[piece] - 1)
-        order = np.argsort(key, kind="stable")
-        return key[order], piece[order]
-
-    def _look(self, keys: np.ndarray, pieces: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The piece of each edge key, or -1."""
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.searchsorted(keys, wanted)
-        at[at == len(keys)] = 0
-        return np.where(keys[at] == wanted, pieces[at], -1)
+        edges = np.full(len(points) * v.depth, -1, dtype=np.int32)
+        if len(usable):
+            first, last = index.ranges([v.points[i] for i in usable])
+            count = last - first
+            place = index.order[ragged(first, count)]
+            edges[place * v.depth + np.repeat(v.lengths[usable] - 1, count)] = np.repeat(usable, count)
+        return edges
 
     def segment(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of the chunks that start at ``starts`` of a concatenated
-        text: places, and pieces (-1: a character in no piece)."""
+        """Symbols of the chunks that start at ``starts`` of a concatenated text
+        (a 0 after each chunk): places, and pieces (-1: a character in no piece)."""
         v, n = self.v, len(points)
-        ends = np.append(starts[1:], n)
-        chunk_end = np.repeat(ends, ends - starts)
-        keys, pieces = self._edges(points, chunk_end)
-        is_start = np.ones(n + 1, dtype=bool)
+        ends = np.append(starts[1:], n) - 1
+        chunk_end = np.repeat(ends, ends + 1 - starts)
+        edges = self._edges(points)
+        is_start = points != 0
         long = np.flatnonzero(ends - starts > LONG)
         for c in long:
-            self._relax_heap(keys, pieces, int(starts[c]), int(ends[c]), is_start)
+            self._relax_heap(edges, int(starts[c]), int(ends[c]), is_start)
         active = np.ones(len(starts), dtype=bool)
         active[long] = False
-        live = np.repeat(active, ends - starts)
-        while True:
-            at = np.flatnonzero(is_start[:n] & live)
-            if not len(at):
-                break
+        live = np.repeat(active, ends + 1 - starts)
+        at = np.flatnonzero(is_start & live)
+        while len(at):
             own_end = chunk_end[at]
-            after = np.append(at[1:], n)
-            after = np.minimum(after, own_end)                      # end of the symbol
+            after = np.minimum(np.append(at[1:], n), own_end)       # end of the symbol
             after2 = np.append(after[1:], n)                        # end of the next symbol
             pair = np.flatnonzero((after < own_end) & (after2 - at <= v.depth))
-            piece = self._look(keys, pieces, at[pair] * v.depth + (after2[pair] - at[pair] - 1))
+            piece = edges[at[pair] * v.depth + (after2[pair] - at[pair] - 1)]
+            found = piece >= 0
             score = np.full(len(at), _NO_RANK)
-            score[pair[piece >= 0]] = v.rank[piece[piece >= 0]]
+            score[pair[found]] = v.rank[piece[found]]
             # Best edge of each chunk, leftmost of equals.
             head = np.flatnonzero(np.append(True, own_end[1:] != own_end[:-1]))
             best = np.minimum.reduceat(score, head)
@@ -212,20 +205,21 @@ class Encoder:
             hit = np.flatnonzero(score == np.repeat(best, size))
             chunk = np.repeat(np.arange(len(head)), size)[hit]
             hit = hit[np.append(True, chunk[1:] != chunk[:-1])]
-            done = best == _NO_RANK
-            is_start[after[hit[~done]]] = False
-            live[at] = ~np.repeat(done, size)
-        at = np.flatnonzero(is_start[:n])
+            going = best < _NO_RANK
+            is_start[after[hit[going]]] = False
+            at = at[np.repeat(going, size)]
+            at = at[is_start[at]]
+        at = np.flatnonzero(is_start)
         length = np.minimum(np.append(at[1:], n), chunk_end[at]) - at
-        return at, self._look(keys, pieces, at * v.depth + length - 1)
+        return at, edges[at * v.depth + length - 1]
 
-    def _relax_heap(self, keys, pieces, lo: int, hi: int, is_start: np.ndarray) -> None:
+    def _relax_heap(self, edges: np.ndarray, lo: int, hi: int, is_start: np.ndarray) -> None:
         """The same relaxation of one long chunk, by a heap of candidate edges."""
         v, size = self.v, hi - lo
         nxt, prv = list(range(1, size + 1)), list(range(-1, size - 1))
         alive = [True] * size
-        a, b = np.searchsorted(keys, [lo * v.depth, hi * v.depth])
-        edge = dict(zip((keys[a:b] - lo * v.depth).tolist(), v.rank[pieces[a:b]].tolist()))
+        own = edges[lo * v.depth:hi * v.depth]
+        rank_of = np.where(own >= 0, v.rank[own], _NO_RANK)
         heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
@@ -233,8 +227,8 @@ class Encoder:
             if j < size:
                 end = nxt[j]
                 if end - i <= v.depth:
-                    rank = edge.get(i * v.depth + end - i - 1)
-                    if rank is not None:
+                    rank = int(rank_of[i * v.depth + end - i - 1])
+                    if rank < _NO_RANK:
                         heapq.heappush(heap, (rank, i, end))
 
         for i in range(size):
@@ -286,15 +280,21 @@ class Encoder:
         code, _ = pd.factorize(_ranges_hash(buf.astype(np.uint64) + np.uint64(1), begin, end, _P, _PI))
         first = np.full(int(code.max()) + 1, -1)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        part = buf[ragged(begin[first], end[first] - begin[first])].tobytes()
-        points = np.frombuffer(part.decode().replace(" ", MARK).encode("utf-32-le"), np.uint32)
-        lead = (np.frombuffer(part, np.uint8) & 0xC0) != 0x80
-        at = np.cumsum(end[first] - begin[first]) - (end[first] - begin[first])
-        starts = (np.cumsum(lead) - lead)[at]
+        # The distinct chunks with a byte between them, as code points plus one
+        # (so that 0 is no character).
+        size_of = end[first] - begin[first] + 1
+        spots = np.minimum(ragged(begin[first], size_of), len(buf) - 1)
+        part = buf[spots]
+        after = np.cumsum(size_of) - 1
+        part[after] = 1
+        lead = np.cumsum((part & 0xC0) != 0x80)
+        points = np.frombuffer(part.tobytes().decode().replace(" ", MARK).encode("utf-32-le"), np.uint32) + np.uint32(1)
+        points[lead[after] - 1] = 0
+        starts = np.append(0, lead[after][:-1])
         place, piece = self.segment(points, starts)
         # Ids of a symbol: the piece's own, or the bytes of the character.
         strange, which = np.unique(points[place[piece < 0]], return_inverse=True)
-        spelled = [v.byte_ids[list(chr(c).encode())] for c in strange]
+        spelled = [v.byte_ids[list(chr(c - 1).encode())] for c in strange]
         table = np.concatenate([v.ids, *spelled])
         width = np.concatenate([np.ones(len(v.ids), np.int64), np.array([len(s) for s in spelled], np.int64)])
         entry = piece.copy()
