@@ -35,7 +35,7 @@ from kassa.llm.words import _P, _PI, _ranges_hash, ragged
 
 MARK = "▁"
 LONG = 200                      # characters of a chunk that relaxes through a heap
-BLOCK_BYTES = 4 << 20          # text indexed at once
+BLOCK_BYTES = 2 << 20          # text indexed at once
 _NO_RANK = np.int64(1 << 40)
 
 
