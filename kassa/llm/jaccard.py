@@ -46,8 +46,8 @@ THRESHOLD = (3, 4)              # similarity >= 3 / 4
 LEAST_HASHES = 8                # star tokens of a document
 COUNTERS = 1 << 20              # counters of the rarity table (4 MB broadcast)
 _PIECES = 64
-TOKENS_PER_TASK = 2_000_000     # prefix tokens joined by one task
-SHINGLES_PER_TASK = 4_000_000   # shingles of the home documents of a verifying task
+TOKENS_PER_TASK = 1_000_000     # prefix tokens joined by one task
+SHINGLES_PER_TASK = 2_000_000   # shingles of the home documents of a verifying task
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -174,7 +174,7 @@ def _texts(column) -> Iterator[pa.Array]:
     for raw in column:
         held.append(unpress.decompress(raw.as_buffer()))
         size += len(held[-1])
-        if size > 8 << 20:
+        if size > 1 << 20:
             yield pa.array(held, pa.large_binary())
             held, size = [], 0
     yield pa.array(held, pa.large_binary())
@@ -347,7 +347,7 @@ def _prefix_tokens(labelled: DataFrame, rarity, tasks: int, t) -> DataFrame:
     return labelled.mapInArrow(run, "task long, rows long, tokens binary, docs binary")
 
 
-def _join_tokens(tokens: pa.Table, t, chunk: int = 2_000_000) -> Iterator[np.ndarray]:
+def _join_tokens(tokens: pa.Table, t, chunk: int = 400_000) -> Iterator[np.ndarray]:
     """Pairs [k, 4] of different components that share a prefix token and pass
     the length and positional filters."""
     parts, docs, base = [], [], 0

@@ -47,7 +47,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, _U(base), dtype=_U)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _POWERS[base] = have
     return have[:n]
 
@@ -121,7 +121,7 @@ def window_hashes(word_hash: np.ndarray, starts: np.ndarray, length) -> np.ndarr
     return _ranges_hash(word_hash, starts, starts + length, _Q, _QI)
 
 
-def text_slices(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices ``(lo, hi, buffer, offsets)`` of a text column, null as empty.
 
     A slice holds at most ``max_bytes`` unless one text alone is longer, so the
