@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from kassa.llm.decontaminate import op3_decontaminate
 from kassa.llm.jaccard import op7_jaccard_join
 from kassa.llm.langid import op9_language_id
+from kassa.llm.licenses import op4_license_scan
 from kassa.llm.pieces import op2_sentencepiece
 from kassa.llm.quality import op10_quality_rules
 from kassa.llm.repeats import op6_substring_dedup
+from kassa.llm.surrogates import op8_pii_surrogates
 from kassa.llm.token_files import op5_token_files
 from kassa.llm.warc import op1_warc
 
@@ -19,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
+    "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
