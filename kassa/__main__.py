@@ -38,8 +38,9 @@ def main(argv: list[str] | None = None) -> int:
                      help="approximate p90/median with this rank error")
     run.add_argument("--partition-by", default="",
                      help="comma-separated sink partition columns, e.g. year,month")
-    run.add_argument("--staging", choices=("cache", "table"), default="cache",
-                     help="materialise the enriched table in memory or as a table")
+    run.add_argument("--staging", choices=("cache", "table"), default="table",
+                     help="materialise the enriched table as a table or in memory")
+    run.add_argument("--multi-line", action="store_true", help="line ends inside quoted CSV fields")
 
     gen = sub.add_parser("generate", help="write synthetic transactions as CSV")
     gen.add_argument("out_dir")
@@ -50,6 +51,8 @@ def main(argv: list[str] | None = None) -> int:
     bench.add_argument("work_dir", help="data/, out/ and metrics/ go here")
     bench.add_argument("scales", nargs="*", default=list(SCALES), choices=list(SCALES))
     bench.add_argument("--seed", type=int, default=42)
+    bench.add_argument("--baseline-metrics", help="run-metrics folder of the framework to compare with")
+    bench.add_argument("--baseline", default="pandas")
 
     cmp_ = sub.add_parser("compare", help="tables over a run-metrics folder")
     cmp_.add_argument("metrics")
@@ -65,7 +68,8 @@ def main(argv: list[str] | None = None) -> int:
         from kassa.sources.csv import read_transactions_csv
         spark = _session(f"kassa-run-{args.label}")
         cfg = replace(DEFAULT, quantile_error=args.approx_quantiles)
-        result = run_pipeline(spark, read_transactions_csv(spark, args.input), args.target,
+        result = run_pipeline(spark, read_transactions_csv(spark, args.input,
+                                                           multi_line=args.multi_line), args.target,
                               args.label, cfg, metrics_path=args.metrics,
                               kpi_tables_path=f"{args.target}/kpis" if args.kpi_tables else None,
                               partition_by=tuple(c for c in args.partition_by.split(",") if c),
@@ -79,7 +83,9 @@ def main(argv: list[str] | None = None) -> int:
     elif args.cmd == "benchmark":
         from kassa.plans.run import run_pipeline
         from kassa.sources.csv import read_transactions_csv
+        from kassa.sinks.files import write_combined_metrics
         from kassa.sources.generate import generate_dataset
+        from kassa.sources.metrics import load_run_metrics, read_run_metrics
         spark = _session("kassa-benchmark")
         work = args.work_dir.rstrip("/")
         for scale in args.scales:  # smaller scales first, in one session
@@ -89,21 +95,24 @@ def main(argv: list[str] | None = None) -> int:
                                   f"{work}/out/{label}", label, framework="pyspark",
                                   metrics_path=f"{work}/metrics/runs", raise_errors=False)
             print(json.dumps(result.metrics, default=str))
-        _compare(spark, f"{work}/metrics", "pandas", "pyspark")
+        runs = read_run_metrics(spark, f"{work}/metrics/runs", "part-*.json", multiline=False)
+        write_combined_metrics(runs, f"{work}/metrics/combined_metrics.json")
+        if args.baseline_metrics:
+            runs = runs.unionByName(load_run_metrics(spark, args.baseline_metrics))
+        _tables(runs, args.baseline if args.baseline_metrics else None, "pyspark")
     else:
         spark = _session("kassa-compare")
-        _compare(spark, args.metrics, args.baseline, args.candidate)
+        from kassa.sources.metrics import load_run_metrics
+        _tables(load_run_metrics(spark, args.metrics), args.baseline, args.candidate)
     return 0
 
 
-def _compare(spark: SparkSession, metrics_dir: str, baseline: str, candidate: str) -> None:
+def _tables(runs, baseline: str | None, candidate: str) -> None:
+    """The comparison tables; the speed-up only where there is a baseline."""
     from kassa.operators import compare
-    from kassa.sources.metrics import load_run_metrics, read_run_metrics
-    runs = load_run_metrics(spark, metrics_dir)
-    if runs.isEmpty():  # the benchmark's own history lives one folder down
-        runs = read_run_metrics(spark, f"{metrics_dir}/runs", "part-*.json", multiline=False)
     compare.summary_table(runs).show(truncate=False)
-    compare.speedup(runs, baseline, candidate).show(truncate=False)
+    if baseline:
+        compare.speedup(runs, baseline, candidate).show(truncate=False)
     compare.throughput(runs).show(truncate=False)
     compare.stage_breakdown(runs).show(truncate=False)
 

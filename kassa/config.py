@@ -33,13 +33,15 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
              "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
              "None", "n/a", "nan", "null")
 
+# CSV files: a header, double quotes, a quote inside a quoted field doubled,
+# blanks around a field belong to it.
+CSV_DIALECT = {"header": True, "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 # Quantile that marks a high-value transaction, and the median.
 HIGH_VALUE_QUANTILE = 0.9
 MEDIAN_QUANTILE = 0.5
 
-# Rank error of the approximate quantile when approximation is asked for.
-APPROX_RELATIVE_ERROR = 0.001
-
 # Status values turned into rates.
 CANCELLED_STATUS = "cancelled"
 REFUNDED_STATUS = "refunded"
@@ -53,8 +55,13 @@ NULL_RATE_DIGITS = 4
 # Number of customers in the top-customer report.
 TOP_CUSTOMERS = 10
 
-# Money is exact: every per-row amount is a decimal with 6 places.
-MONEY_TYPE = "decimal(18,6)"
+# Money is exact: every per-row amount is a decimal with 6 places. A price is
+# read with 18 digits before the point; a larger one is rejected like a
+# non-finite one, and price * quantity then always fits the amount's type.
+PRICE_TYPE = "decimal(24,6)"
+PRICE_LIMIT = 1e18
+RATE_TYPE = "decimal(7,6)"
+MONEY_TYPE = "decimal(38,6)"
 
 # Synthetic transactions: value lists, draws and named scales.
 CATEGORIES = ("Electronics", "Clothing", "Books", "Home & Kitchen", "Sports", "Toys",

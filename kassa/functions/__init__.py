@@ -5,7 +5,6 @@ from kassa.functions.columns import (
     clip,
     day_of_week,
     is_missing,
-    money,
     na_to_null,
     percent,
     round_money,
@@ -13,6 +12,6 @@ from kassa.functions.columns import (
 )
 
 __all__ = [
-    "banded", "clip", "day_of_week", "is_missing", "money", "na_to_null",
+    "banded", "clip", "day_of_week", "is_missing", "na_to_null",
     "percent", "round_money", "tolerant_timestamp",
 ]

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kassa.config import DEFAULT, CleanConfig
+from kassa.config import DEFAULT, PRICE_LIMIT, CleanConfig
 from kassa.functions import clip
 from kassa.operators.dedup import dedup_by_key
 
@@ -26,12 +26,12 @@ def fill_defaults(df: DataFrame, fills=DEFAULT.fills) -> DataFrame:
 
 def positive_filter(df: DataFrame, price: str = DEFAULT.price,
                     quantity: str = DEFAULT.quantity) -> DataFrame:
-    """Keep finite positive prices and positive quantities.
+    """Keep positive prices that the price type holds and positive quantities.
 
-    ``price < inf`` also rejects NaN, which Spark orders above infinity.
+    ``price < limit`` also rejects infinity and NaN, which Spark orders above it.
     """
     p, q = F.col(price), F.col(quantity)
-    return df.where((p > 0) & (p < F.lit(float("inf"))) & (q > 0))
+    return df.where((p > 0) & (p < F.lit(PRICE_LIMIT)) & (q > 0))
 
 
 def clip_discount(df: DataFrame, discount: str = DEFAULT.discount,

@@ -6,7 +6,7 @@ the tables they were drawn from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SUCCESS = "SUCCESS"
@@ -21,6 +21,14 @@ def _if_ok(col: str):
     return F.when(_ok(), F.col(col))
 
 
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """The newest run of every (framework, scale): the one that finished last;
+    runs without a time come before those with one, ties go to the higher id."""
+    order = Window.partitionBy("framework", "scale_label").orderBy(
+        F.desc_nulls_last("finished_at"), F.desc_nulls_last("run_id"))
+    return runs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def summary_table(runs: DataFrame) -> DataFrame:
     """One row per run: counts, stage times, memory and quality. A failed run
     keeps framework, scale, cores, memory and its status; the rest is null."""
@@ -40,13 +48,10 @@ def summary_table(runs: DataFrame) -> DataFrame:
 
 
 def align(runs: DataFrame, baseline: str = "pandas", candidate: str = "pyspark") -> DataFrame:
-    """Baseline and candidate runs side by side on the scales both ran.
-
-    The run history has one row per (framework, scale): the join is an
-    equi-join on ``scale_label`` and the optimizer picks its strategy.
-    """
+    """Baseline and candidate side by side on the scales both ran: the newest
+    run of each, so a scale is one row however often it was run."""
     def side(fw: str, p: str) -> DataFrame:
-        return runs.where(F.col("framework") == fw).select(
+        return latest_runs(runs.where(F.col("framework") == fw)).select(
             "scale_label",
             F.coalesce("status", F.lit(SUCCESS)).alias(f"{p}_status"),
             F.col("raw_rows").alias(f"{p}_raw_rows"),
@@ -59,7 +64,9 @@ def speedup(runs: DataFrame, baseline: str = "pandas", candidate: str = "pyspark
     """baseline total / max(candidate total, 1e-6); null when either run failed.
     ``faster`` marks a speed-up above 1."""
     a = align(runs, baseline, candidate)
-    su = F.col("base_total_s") / F.greatest(F.col("cand_total_s"), F.lit(1e-6))
+    # greatest() skips nulls: a failed candidate must not become 1e-6 seconds.
+    su = F.when(F.col("cand_total_s").isNotNull(),
+                F.col("base_total_s") / F.greatest(F.col("cand_total_s"), F.lit(1e-6)))
     return a.select(
         "scale_label", F.coalesce("base_raw_rows", "cand_raw_rows").alias("raw_rows"),
         "base_total_s", "cand_total_s", su.alias("speedup"),
@@ -102,5 +109,8 @@ def quality_series(runs: DataFrame) -> DataFrame:
 
 
 def ranked_runs(runs: DataFrame) -> DataFrame:
-    """Runs ordered by total time within each framework."""
-    return runs.orderBy("framework", F.asc_nulls_last("time_total_s"))
+    """Runs ordered by total time within each framework; ``place`` counts from
+    1, equal times in the order of their ids, failed runs last."""
+    time, run = _if_ok("time_total_s"), F.asc_nulls_last("run_id")
+    order = Window.partitionBy("framework").orderBy(F.asc_nulls_last(time), run)
+    return runs.withColumn("place", F.row_number().over(order)).orderBy("framework", "place")

@@ -8,13 +8,21 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kassa.config import DEFAULT, MONEY_TYPE, CleanConfig
-from kassa.functions import banded, day_of_week, money
+from kassa.config import DEFAULT, MONEY_TYPE, PRICE_TYPE, RATE_TYPE, CleanConfig
+from kassa.functions import banded, day_of_week
 
 
 def revenue_exprs(cfg: CleanConfig = DEFAULT) -> dict[str, Column]:
-    gross = (money(cfg.price) * F.col(cfg.quantity)).cast(MONEY_TYPE)
-    disc = (gross * money(cfg.discount)).cast(MONEY_TYPE)
+    """Exact amounts. The discount is taken of the whole and of the fractional
+    part of the gross amount apart: both products fit 38 digits unrounded, so
+    the amount is rounded once, HALF_UP at 6 places."""
+    price = F.col(cfg.price).try_cast(PRICE_TYPE)
+    rate = F.col(cfg.discount).try_cast(RATE_TYPE)
+    gross = price * F.col(cfg.quantity).cast("decimal(10,0)")
+    whole = F.floor(gross).cast("decimal(30,0)")
+    part = (gross - whole).cast("decimal(6,6)")
+    disc = (whole * rate).cast(MONEY_TYPE) + F.round(part * rate, 6)
+    gross, disc = gross.cast(MONEY_TYPE), disc.cast(MONEY_TYPE)
     return {
         "gross_revenue": gross,
         "discount_amt": disc,

@@ -14,7 +14,8 @@ exact order statistics are found by histogram refinement:
    aggregate pass; partial aggregation map-side, so a hot value costs nothing
    extra), collects that bounded table and keeps the bucket of each rank;
 4. once an interval holds at most ``buckets`` rows, those rows are read and
-   the rank is picked directly.
+   the rank is picked directly; an interval too narrow to split (adjacent
+   values, so fewer than ``buckets`` distinct ones) is counted by value.
 
 The bucket function is monotone, so everything below the chosen bucket is
 strictly smaller than its ``min`` and everything above strictly larger than
@@ -74,23 +75,34 @@ def _in(lo, hi):
     return F.col("x").between(F.lit(lo), F.lit(hi))
 
 
+def _any(intervals):
+    cond = F.lit(False)
+    for lo, hi in intervals:
+        cond = cond | _in(lo, hi)
+    return cond
+
+
+def _width(lo, hi, buckets: int) -> float:
+    """Bucket width, from the distance in the column's own type."""
+    return float(hi - lo) / buckets
+
+
 def _histograms(values: DataFrame, wide: list[tuple], buckets: int) -> dict[int, list]:
     """Equal-width bucket tables of several intervals in one aggregate pass.
 
     Each row is tagged with the interval it falls in (intervals are disjoint
     or equal), then grouped by (interval, bucket): partial aggregation
     map-side, at most ``buckets`` groups per interval, so the collected table
-    is bounded by construction.
+    is bounded by construction. Rows outside every interval leave first (the
+    filter reaches the scan). Distances are taken in the column's own type.
     """
     x = F.col("x")
     tags = []
     for i, (lo, hi) in enumerate(wide):
-        lo_d = float(lo)
-        width = (float(hi) - lo_d) / buckets
-        b = F.least(F.floor((x.cast("double") - F.lit(lo_d)) / F.lit(width)),
+        b = F.least(F.floor((x - F.lit(lo)).cast("double") / F.lit(_width(lo, hi, buckets))),
                     F.lit(buckets - 1))
         tags.append(F.when(_in(lo, hi), F.struct(F.lit(i).alias("t"), b.alias("b"))))
-    tagged = (values.select(F.explode(F.array(*tags)).alias("tb"), "x")
+    tagged = (values.where(_any(wide)).select(F.explode(F.array(*tags)).alias("tb"), "x")
               .where(F.col("tb").isNotNull()))
     rows = (tagged.groupBy(F.col("tb.t").alias("t"), F.col("tb.b").alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -128,15 +140,20 @@ def _select(values: DataFrame, first: list[tuple], ranks: Sequence[int],
             if lo == hi:  # one distinct value left
                 found.update({r: lo for r in rs})
                 del open_[(lo, hi)]
-        small = {k: v for k, v in open_.items()
-                 if v[0] <= buckets or not (float(k[1]) - float(k[0])) / buckets > 0}
-        wide = [k for k in open_ if k not in small]
+        small = {k: v for k, v in open_.items() if v[0] <= buckets}
+        # Too narrow to split: less than `buckets` steps of the type apart.
+        narrow = [k for k in open_ if k not in small and not _width(*k, buckets) > 0]
+        wide = [k for k in open_ if k not in small and k not in narrow]
+        if narrow:
+            rows = values.where(_any(narrow)).groupBy("x").count().collect()
+            for lo, hi in narrow:
+                _, seen, rs = open_[(lo, hi)]
+                for value, n in sorted((r["x"], r["count"]) for r in rows if lo <= r["x"] <= hi):
+                    found.update({r: value for r in rs if seen <= r < seen + n})
+                    seen += n
         if small:
             # At most `buckets` rows left per interval: read them in one pass.
-            cond = F.lit(False)
-            for lo, hi in small:
-                cond = cond | _in(lo, hi)
-            xs = [r["x"] for r in values.where(cond).collect()]
+            xs = [r["x"] for r in values.where(_any(small)).collect()]
             for (lo, hi), (_, below, rs) in small.items():
                 part = sorted(v for v in xs if lo <= v <= hi)
                 found.update({r: part[r - below] for r in rs})

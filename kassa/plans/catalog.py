@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kassa.config import MEDIAN_QUANTILE, MONEY_DIGITS, MONEY_TYPE
-from kassa.functions import round_money
-from kassa.operators import kpis
+from kassa.functions import day_of_week, percent, round_money
+from kassa.operators import compare, kpis
 from kassa.operators.clean import (clip_discount, dedup, drop_critical_nulls, fill_defaults,
                                    positive_filter)
 from kassa.operators.dedup import exact_dedup
 from kassa.operators.enrich import calendar_parts, revenue_columns
 from kassa.operators.normalize import normalize_na_tokens, parse_timestamps, prepare
-from kassa.operators.quality import null_profile, quality_report
+from kassa.operators.quality import judged_rows, null_profile, quality_one_pass
 from kassa.operators.quantile import approx_quantiles
 from kassa.operators.replicate import replicate
-from kassa.operators.report import kpi_report
+from kassa.operators.report import kpi_rows
+from kassa.plans.run import run_pipeline
 from kassa.plans.stages import enriched, flag, thresholds
 from kassa.schema import CLEAN_COLUMNS, RAW_COLUMNS, RAW_SCHEMA
-from kassa.session import scratch_path
+from kassa.session import release_scratch, scratch_path
 from kassa.sinks.files import write_csv, write_parquet
 from kassa.sources.csv import read_transactions_csv
+from kassa.sources.metrics import read_run_metrics
 from kassa.sources.parquet import read_clean
 from kassa.sources.tables import TABLES_CONFIG, TIE_BREAK_COLUMN, transactions_from_tables
 
@@ -69,26 +71,32 @@ def _enriched(spark, sf):
     return enriched(_tx(spark, sf), CFG)
 
 
-def _staged(spark, sf):
-    """The enriched table written once to the shared folder and read back: the
-    data-wide quantile passes and the flagged table then read Parquet (a
-    lineage cut, column pruning) instead of re-running joins and dedup."""
-    path = scratch_path(spark, "enriched")
-    e = _enriched(spark, sf)
-    write_parquet(e, path)
-    return read_clean(spark, path, e.schema)
+def _thresholds(spark, sf):
+    """The data-wide quantiles: the one column they read is staged (the joins
+    and the dedup run once for all passes) and deleted when they are known."""
+    path = scratch_path(spark, "net-revenue")
+    net = _enriched(spark, sf).select("net_revenue")
+    write_parquet(net, path)
+    try:
+        return thresholds(read_clean(spark, path, net.schema), CFG, cache=False)
+    finally:
+        release_scratch(spark, [path])
 
 
 def _clean_table(spark, sf):
-    e = _staged(spark, sf)
-    th = thresholds(e, CFG, cache=False)
-    return flag(e, th), th
+    th = _thresholds(spark, sf)
+    return flag(_enriched(spark, sf), th), th
 
 
 # --- sources and normalisation ---------------------------------------------
 
 def na_token_normalise(spark, sf):
-    return normalize_na_tokens(_tx(spark, sf), CFG.na_tokens).select(*RAW_COLUMNS)
+    """Every token occurs as a product name (one product in seven)."""
+    tokens = F.array(*[F.lit(t) for t in CFG.na_tokens])
+    name = F.when(F.col("product_id") % 7 == 0, F.get(
+        tokens, (F.floor(F.col("product_id") / 7) % len(CFG.na_tokens)).cast("int"))).otherwise(F.col("product_name"))
+    dirty = _tx(spark, sf).withColumn("product_name", name)
+    return normalize_na_tokens(dirty, CFG.na_tokens).select(*RAW_COLUMNS)
 
 
 def parse_timestamp(spark, sf):
@@ -142,10 +150,9 @@ def calendar_parts_q(spark, sf):
 
 
 def day_of_week_q(spark, sf):
-    c = _clipped(spark, sf)
-    return c.select("transaction_id", "timestamp",
-                    F.dayofweek("timestamp").alias("dow_sunday"),
-                    F.weekday("timestamp").alias("dow_monday"))
+    return _clipped(spark, sf).select(
+        "transaction_id", "timestamp", day_of_week("timestamp").alias("dow_sunday"),
+        day_of_week("timestamp", "monday").alias("dow_monday"))
 
 
 def revenue_band_q(spark, sf):
@@ -169,8 +176,8 @@ def null_profile_q(spark, sf):
 
 
 def quality_report_q(spark, sf):
-    ct, _ = _clean_table(spark, sf)
-    return quality_report(_prepared(spark, sf), ct, RAW_COLUMNS, CLEAN_COLUMNS)
+    """Before and after from one scan and one shuffle by key."""
+    return quality_one_pass(_prepared(spark, sf), CFG, RAW_COLUMNS, CLEAN_COLUMNS)
 
 
 # --- KPIs --------------------------------------------------------------------
@@ -185,16 +192,15 @@ def distinct_counts_q(spark, sf):
 
 
 def median_order_value(spark, sf):
-    th = thresholds(_staged(spark, sf), CFG, cache=False)
+    th = _thresholds(spark, sf)
     med = F.lit(th.median if th.median is not None else 0).cast(MONEY_TYPE)
     return spark.range(1).select(round_money(med, MONEY_DIGITS).alias("median_order_value"))
 
 
 def p90_threshold(spark, sf):
-    e = _staged(spark, sf)
-    th = thresholds(e, CFG, cache=False)
+    th = _thresholds(spark, sf)
     p90 = th.rounded(th.high_value)
-    return e.agg(F.count(F.lit(1)).alias("rows")).select(
+    return _enriched(spark, sf).agg(F.count(F.lit(1)).alias("rows")).select(
         F.lit(p90).cast("double").alias("p90_threshold"), "rows")
 
 
@@ -231,32 +237,113 @@ def top_customers_q(spark, sf):
 
 
 def approx_quantiles_q(spark, sf):
-    """Greenwald-Khanna quantiles (rank error 0.001): no exact oracle."""
+    """Greenwald-Khanna quantiles with a rank error of 0.001. At 0.45 and 0.85
+    of quantity no value boundary lies within that error, so the sketch must
+    give the exact values; for net revenue the true rank of what it gives is
+    compared with the error."""
     e = _enriched(spark, sf)
-    q = approx_quantiles(e, "net_revenue", [MEDIAN_QUANTILE, CFG.high_value_quantile], 0.001)
-    return spark.range(1).select(
-        F.lit(q[MEDIAN_QUANTILE]).cast("double").alias("p50_approx"),
-        F.lit(q[CFG.high_value_quantile]).cast("double").alias("p90_approx"))
+    error, probs = 0.001, (MEDIAN_QUANTILE, CFG.high_value_quantile)
+    few = approx_quantiles(e, "quantity", [0.45, 0.85], error)
+    net = approx_quantiles(e, "net_revenue", list(probs), error)
+    n = F.count(F.lit(1))
+
+    def close(p):  # the ranks that the value stands for reach within the error
+        value = F.lit(net[p]).cast(MONEY_TYPE)
+        below, upto = F.count_if(F.col("net_revenue") < value), F.count_if(F.col("net_revenue") <= value)
+        return (below <= (p + error) * n + 1) & (upto >= (p - error) * n - 1)
+    return e.agg(F.lit(few[0.45]).cast("int").alias("quantity_p45"), F.lit(few[0.85]).cast("int").alias("quantity_p85"),
+                 close(probs[0]).alias("net_p50_within_error"), close(probs[1]).alias("net_p90_within_error"))
 
 
 def kpi_report_q(spark, sf):
-    """The one-row KPI document (nested arrays): rows-only in the driver's
-    check; its numbers are tested against the oracle-checked KPI tables."""
+    """The report as ordered rows: section, position, key, metric, value."""
     ct, th = _clean_table(spark, sf)
-    return kpi_report(ct, th.median, CFG)
+    return kpi_rows(ct, th.median, CFG)
+
+
+def pipeline_run(spark, sf):
+    """The whole four-stage job; what it recorded and the totals it reports."""
+    target, metrics = scratch_path(spark, "run"), scratch_path(spark, "run-metrics")
+    result = run_pipeline(spark, _tx(spark, sf), target, "tables", CFG, metrics_path=metrics)
+    written = read_clean(spark, result.clean_path).agg(F.count(F.lit(1)).alias("clean_rows_written"))
+    runs = read_run_metrics(spark, metrics, None, multiline=False)
+    kpi = lambda name: F.col("kpis")[name].alias(name)
+    out = runs.select("status", "raw_rows", "clean_rows", "quality.rows_before", "quality.rows_after",
+                      "quality.drop_pct", "quality.null_rate_before", "quality.null_rate_after",
+                      kpi("total_net_revenue"), kpi("unique_customers"), kpi("median_order_value"),
+                      kpi("high_value_txn_pct"))
+    return out.crossJoin(written)
+
+
+# --- run comparison ------------------------------------------------------------
+
+def run_history(spark, sf):
+    """A run history made of the events: each (event type, day, six hours) is a
+    run, so every (framework, scale) was run up to four times."""
+    e = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
+    e = e.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", F.col("event_id"),
+                 F.col("value").cast("decimal(12,2)").alias("v"))
+    framework = (F.when(F.col("event_type") == "click", "pandas").when(F.col("event_type") == "view", "pyspark")
+                 .otherwise(F.col("event_type")))
+    day, part = F.dayofmonth("ts"), F.floor(F.hour("ts") / 6)
+    stage = lambda i: F.coalesce(F.sum(F.when(F.col("event_id") % 4 == i, F.col("v"))), F.lit(0)).cast("double")
+    n = F.count(F.lit(1))
+    runs = e.groupBy(framework.alias("framework"), F.concat(F.lit("D"), day.cast("string")).alias("scale_label"),
+                     day.alias("day"), part.alias("part")).agg(
+        F.max("ts").cast("timestamp").alias("finished_at"), n.alias("n"), F.count_if(F.col("v") > 20).alias("kept"),
+        *[stage(i).alias(f"time_{s}_s") for i, s in enumerate(compare.STAGES)],
+        F.sum("v").cast("double").alias("total"))
+    ok = F.col("n") % 5 != 0
+    drop = percent(F.col("n") - F.col("kept"), F.col("n"), 2)
+    return runs.select(
+        F.concat_ws("-", "framework", "scale_label", F.col("part").cast("string")).alias("run_id"), "finished_at",
+        "framework", "scale_label", F.when(ok, "SUCCESS").otherwise("ERROR").alias("status"),
+        F.lit(None).cast("string").alias("error_msg"), (F.col("day") * 10000).cast("bigint").alias("raw_rows"),
+        F.col("kept").alias("clean_rows"), F.lit(8).alias("cores_used"),
+        *[f"time_{s}_s" for s in compare.STAGES], F.when(ok, F.col("total")).alias("time_total_s"),
+        F.lit(None).cast("double").alias("memory_peak_mb"),
+        F.struct(F.col("n").alias("rows_before"), F.col("kept").alias("rows_after"),
+                 (F.col("n") - F.col("kept")).alias("rows_dropped"), drop.alias("drop_pct"),
+                 F.lit(0.5).alias("null_rate_before"), F.lit(0.0).alias("null_rate_after")).alias("quality"))
+
+
+def run_summary_q(spark, sf):
+    return compare.summary_table(run_history(spark, sf))
+
+
+def run_align_q(spark, sf):
+    return compare.align(run_history(spark, sf))
+
+
+def run_speedup_q(spark, sf):
+    return compare.speedup(run_history(spark, sf))
+
+
+def run_throughput_q(spark, sf):
+    return compare.throughput(run_history(spark, sf))
+
+
+def run_stage_breakdown_q(spark, sf):
+    return compare.stage_breakdown(run_history(spark, sf))
+
+
+def run_quality_q(spark, sf):
+    return compare.quality_series(run_history(spark, sf))
+
+
+def run_ranked_q(spark, sf):
+    return compare.ranked_runs(run_history(spark, sf)).select("framework", "place", "run_id", "time_total_s")
 
 
 # --- set operations and round trips -----------------------------------------
 
 def replicate_union(spark, sf):
-    """Cleaning is idempotent under replication: 3 copies in, same rows out."""
-    rep = replicate(_tx(spark, sf), 3)
-    rows_in = rep.agg(F.count(F.lit(1)).alias("rows_in"))
-    out = enriched(rep, CFG).agg(
-        F.count(F.lit(1)).alias("rows_clean"),
-        round_money(F.coalesce(F.sum("net_revenue"), F.lit(0).cast(MONEY_TYPE)),
-                    MONEY_DIGITS).alias("total_net_revenue"))
-    return rows_in.crossJoin(out)
+    """Cleaning is idempotent under replication: 3 copies in, same rows out.
+    Counted in one pass: each key brings its number of copies along."""
+    rows = judged_rows(prepare(replicate(_tx(spark, sf), 3), CFG), CFG)
+    net = F.sum(F.when(F.col("_kept"), F.col("net_revenue")))
+    return rows.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows_in"), F.count_if("_kept").alias("rows_clean"),
+                    round_money(F.coalesce(net, F.lit(0).cast(MONEY_TYPE)), MONEY_DIGITS).alias("total_net_revenue"))
 
 
 def csv_round_trip(spark, sf):
@@ -268,11 +355,33 @@ def csv_round_trip(spark, sf):
     return enriched(read_transactions_csv(spark, path, schema), CFG)
 
 
+def csv_quoting_round_trip(spark, sf):
+    """Names with quotes, commas and outer blanks survive the CSV sink and source."""
+    part = spark.read.parquet(f"{sf.rstrip('/')}/part.parquet")
+    kind, name = F.col("p_partkey") % 5, F.col("p_name")
+    dirty = (F.when(kind == 0, F.concat(F.lit('say "'), name, F.lit('", please')))
+             .when(kind == 1, F.concat(F.lit("  "), name, F.lit("  "))).when(kind == 2, F.concat(name, F.lit(",,")))
+             .when(kind == 3, F.concat(F.lit('"'), name)).otherwise(name))
+    out = part.select(F.col("p_partkey").alias("product_id"), dirty.alias("product_name"),
+                      F.col("p_retailprice").alias("price"))
+    path = scratch_path(spark, "csv-quoting")
+    write_csv(out, path, mode="overwrite")
+    return read_transactions_csv(spark, path, out.schema)
+
+
 def parquet_round_trip(spark, sf):
     ct, _ = _clean_table(spark, sf)
     path = scratch_path(spark, "parquet-round-trip")
     write_parquet(ct, path)
-    return read_clean(spark, path)
+    return read_clean(spark, path, ct.schema)
+
+
+def partitioned_round_trip(spark, sf):
+    """The clean table written by year and month, and read back."""
+    ct, _ = _clean_table(spark, sf)
+    path = scratch_path(spark, "partitioned-round-trip")
+    write_parquet(ct, path, partition_by=("year", "month"))
+    return read_clean(spark, path, ct.schema).select(*CLEAN_COLUMNS)
 
 
 def _reported(query: Query) -> Query:
@@ -325,9 +434,19 @@ def _queries() -> dict[str, Query]:
         "top_customers": top_customers_q,
         "approx_quantiles": approx_quantiles_q,
         "kpi_report": kpi_report_q,
+        "pipeline_run": pipeline_run,
+        "run_summary": run_summary_q,
+        "run_align": run_align_q,
+        "run_speedup": run_speedup_q,
+        "run_throughput": run_throughput_q,
+        "run_stage_breakdown": run_stage_breakdown_q,
+        "run_quality": run_quality_q,
+        "run_ranked": run_ranked_q,
         "replicate_union": replicate_union,
         "csv_round_trip": csv_round_trip,
+        "csv_quoting_round_trip": csv_quoting_round_trip,
         "parquet_round_trip": parquet_round_trip,
+        "partitioned_round_trip": partitioned_round_trip,
     }
 
 

@@ -2,17 +2,27 @@
 
 The SQL restates each operator's meaning independently of the Spark code:
 window dedup, filters, decimal revenue, ``quantile_cont``, and HALF_UP
-rounding of ratios written as exact integer arithmetic. The band edges,
-labels and NA tokens are taken from the same configuration constants.
+rounding of ratios written as exact integer arithmetic. Every constant and
+column list is written out here, so a wrong one in the engine shows.
 """
 
 from __future__ import annotations
 
-from kassa.config import (AVG_DISCOUNT_DIGITS, BAND_EDGES, BAND_LABELS, CANCELLED_STATUS,
-                          CRITICAL_COLUMNS, FILL_VALUES, HIGH_VALUE_QUANTILE, MEDIAN_QUANTILE,
-                          MONEY_DIGITS, NA_TOKENS, NULL_RATE_DIGITS, RATE_DIGITS,
-                          REFUNDED_STATUS, TOP_CUSTOMERS)
-from kassa.schema import CLEAN_COLUMNS, RAW_COLUMNS
+AVG_DISCOUNT_DIGITS, MONEY_DIGITS, NULL_RATE_DIGITS, RATE_DIGITS = 4, 2, 4, 2
+BAND_EDGES = (0, 50, 200, 500, 1000)
+BAND_LABELS = ("micro", "low", "medium", "high", "premium")
+CANCELLED_STATUS, REFUNDED_STATUS = "cancelled", "refunded"
+CRITICAL_COLUMNS = ("transaction_id", "customer_id", "price", "quantity", "category", "status", "region")
+FILL_VALUES = {"product_name": "Unknown Product", "discount": 0.0}
+HIGH_VALUE_QUANTILE, MEDIAN_QUANTILE = 0.9, 0.5
+NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+TOP_CUSTOMERS = 10
+RAW_COLUMNS = ("transaction_id", "customer_id", "product_id", "product_name", "category", "price",
+               "quantity", "discount", "payment_method", "status", "region", "device_type", "timestamp",
+               "is_duplicate_flag")
+CLEAN_COLUMNS = (*RAW_COLUMNS, "gross_revenue", "discount_amt", "net_revenue", "month", "year", "quarter",
+                 "dow", "revenue_band", "is_high_value")
 
 DEC = "DECIMAL(18,6)"
 STRING_COLUMNS = ("product_name", "category", "payment_method", "status", "region",
@@ -227,6 +237,125 @@ FROM (SELECT transaction_id,
   FROM transactions) t"""
 
 
+def _na_select() -> str:
+    listed = ", ".join(_lit(t) for t in NA_TOKENS)
+    name = (f"CASE WHEN product_id % 7 = 0 THEN ([{listed}])[CAST(product_id // 7 % {len(NA_TOKENS)} AS INTEGER) + 1] "
+            f"ELSE product_name END")
+    cols = ", ".join(f"CASE WHEN {_q(c)} IN ({listed}) THEN NULL ELSE {_q(c)} END AS {_q(c)}" if c in STRING_COLUMNS
+                     else _q(c) for c in RAW_COLUMNS)
+    return f"SELECT {cols} FROM (SELECT * REPLACE ({name} AS product_name) FROM transactions) t"
+
+
+def _report_select() -> str:
+    """The report's rows; positions rank each section's groups by its own order."""
+    scalars = ("total_transactions", "total_gross_revenue", "total_net_revenue", "total_discount_amt",
+               "avg_order_value", "unique_customers", "unique_products", "high_value_txn_pct",
+               "cancellation_rate", "refund_rate", "median_order_value")
+    overall = " UNION ALL ".join(
+        f"SELECT 'overall' AS section, {i} AS position, CAST(NULL AS VARCHAR) AS key, '{c}' AS metric, "
+        f"CAST({c} AS DOUBLE) AS value FROM o" for i, c in enumerate(scalars, 1))
+
+    def ranked(section: str, table: str, order: str, key: str, metrics: tuple[str, ...]) -> str:
+        return " UNION ALL ".join(
+            f"SELECT '{section}', row_number() OVER (ORDER BY {order}), CAST({key} AS VARCHAR), '{m}', "
+            f"CAST({m} AS DOUBLE) FROM ({table}) t" for m in metrics)
+
+    net = money("SUM(net_revenue)")
+    category = (f"SELECT category, count(*) AS transactions, {net} AS net_revenue, "
+                f"{avg_decimal(f'CAST(discount AS {DEC})', 'count(*)', AVG_DISCOUNT_DIGITS)} AS avg_discount "
+                f"FROM clean_table GROUP BY category")
+    month = f"SELECT year, month, {net} AS net_revenue FROM clean_table GROUP BY year, month"
+    payment = f"SELECT payment_method, {net} AS net_revenue FROM clean_table GROUP BY payment_method"
+    region = (f"SELECT region, count(*) AS transactions, {net} AS net_revenue "
+              f"FROM clean_table GROUP BY region")
+    top = (f"SELECT customer_id, {net} AS net_revenue FROM clean_table GROUP BY customer_id "
+           f"ORDER BY SUM(net_revenue) DESC, customer_id ASC NULLS FIRST LIMIT {TOP_CUSTOMERS}")
+    by_net = "net_revenue DESC, {} ASC NULLS FIRST"
+    parts = [
+        overall,
+        ranked("category_revenue", category, by_net.format("category"), "category",
+               ("transactions", "net_revenue", "avg_discount")),
+        ranked("monthly_trend", month, "year ASC NULLS FIRST, month ASC NULLS FIRST",
+               "year || '-' || lpad(CAST(month AS VARCHAR), 2, '0')", ("net_revenue",)),
+        ranked("payment_method_revenue", payment, by_net.format("payment_method"), "payment_method", ("net_revenue",)),
+        ranked("region_performance", region, by_net.format("region"), "region", ("transactions", "net_revenue")),
+        ranked("revenue_band_dist", _band_dist_select(), "band_rank", "revenue_band", ("pct",)),
+        ranked("top_customers", top, by_net.format("customer_id"), "customer_id", ("net_revenue",)),
+    ]
+    return BASE + f", o AS ({_overall_select()})\n" + " UNION ALL ".join(parts)
+
+
+RUNS = """WITH e AS (SELECT ts, event_type, event_id, CAST(value AS DECIMAL(12,2)) AS v FROM events),
+g AS (SELECT CASE event_type WHEN 'click' THEN 'pandas' WHEN 'view' THEN 'pyspark' ELSE event_type END AS framework,
+    day(ts) AS d, hour(ts) // 6 AS part, max(ts) AS finished_at, count(*) AS n, count_if(v > 20) AS kept,
+    coalesce(sum(v) FILTER (event_id % 4 = 0), 0) AS t0, coalesce(sum(v) FILTER (event_id % 4 = 1), 0) AS t1,
+    coalesce(sum(v) FILTER (event_id % 4 = 2), 0) AS t2, coalesce(sum(v) FILTER (event_id % 4 = 3), 0) AS t3,
+    sum(v) AS total FROM e GROUP BY ALL),
+runs AS (SELECT framework || '-D' || d || '-' || part AS run_id, finished_at, framework, 'D' || d AS scale_label,
+    CASE WHEN n % 5 <> 0 THEN 'SUCCESS' ELSE 'ERROR' END AS status, n % 5 <> 0 AS ok,
+    CAST(d * 10000 AS BIGINT) AS raw_rows, kept AS clean_rows, 8 AS cores_used,
+    CAST(t0 AS DOUBLE) AS time_extract_s, CAST(t1 AS DOUBLE) AS time_transform_s, CAST(t2 AS DOUBLE) AS time_load_s,
+    CAST(t3 AS DOUBLE) AS time_analytics_s, CASE WHEN n % 5 <> 0 THEN CAST(total AS DOUBLE) END AS time_total_s,
+    {drop} AS drop_pct FROM g),
+newest AS (SELECT * FROM runs QUALIFY row_number() OVER (
+    PARTITION BY framework, scale_label ORDER BY finished_at DESC, run_id DESC) = 1)
+""".replace("{drop}", percent("n - kept", "n", RATE_DIGITS))
+STAGES = ("extract", "transform", "load", "analytics")
+_PAIRS = ("FROM (SELECT * FROM newest WHERE framework = 'pandas') b "
+          "JOIN (SELECT * FROM newest WHERE framework = 'pyspark') c USING (scale_label)")
+
+
+def _run_sql() -> dict[str, str]:
+    def ok(c: str, t: str = "") -> str:
+        p = f"{t}." if t else ""
+        return f"CASE WHEN {p}ok THEN {p}{c} END"
+
+    stages = ", ".join(f"{ok(f'time_{s}_s')} AS time_{s}_s" for s in STAGES)
+    sides = ", ".join(f"{ok(f'time_{s}_s', t)} AS {p}_{s}_s" for t, p in (("b", "base"), ("c", "cand")) for s in STAGES)
+    base, cand = ok("time_total_s", "b"), ok("time_total_s", "c")
+    ratio = f"({base}) / greatest({cand}, 1e-6)"
+    unpivot = " UNION ALL ".join(
+        f"SELECT framework, scale_label, '{s}' AS stage, time_{s}_s AS seconds FROM runs "
+        f"WHERE ok AND raw_rows = (SELECT max(raw_rows) FROM runs WHERE ok)" for s in STAGES)
+    return {
+        "run_summary": RUNS + f"""SELECT framework, scale_label, status, {ok('raw_rows')} AS raw_rows,
+  {ok('clean_rows')} AS clean_rows, cores_used, {stages}, {ok('time_total_s')} AS time_total_s,
+  CAST(NULL AS DOUBLE) AS memory_peak_mb, CASE WHEN ok THEN CAST(0.5 AS DOUBLE) END AS null_rate_before,
+  CASE WHEN ok THEN CAST(0.0 AS DOUBLE) END AS null_rate_after, {ok('drop_pct')} AS drop_pct FROM runs""",
+        "run_align": RUNS + f"""SELECT scale_label, b.status AS base_status, b.raw_rows AS base_raw_rows,
+  {base} AS base_total_s, c.status AS cand_status, c.raw_rows AS cand_raw_rows, {cand} AS cand_total_s, {sides}
+{_PAIRS}""",
+        "run_speedup": RUNS + f"""SELECT scale_label, b.raw_rows, {base} AS base_total_s, {cand} AS cand_total_s,
+  CASE WHEN b.ok AND c.ok THEN {ratio} END AS speedup,
+  CASE WHEN b.ok AND c.ok THEN CASE WHEN {ratio} > 1.0 THEN 'faster' ELSE 'slower' END END AS mark {_PAIRS}""",
+        "run_throughput": RUNS + """SELECT framework, scale_label, raw_rows, time_total_s,
+  raw_rows / greatest(time_total_s, 1e-6) / 1000.0 AS k_rows_per_s FROM runs WHERE ok""",
+        "run_stage_breakdown": RUNS + unpivot,
+        "run_quality": RUNS + """SELECT framework, scale_label, raw_rows, drop_pct, CAST(0.5 AS DOUBLE) AS null_rate_before,
+  CAST(0.0 AS DOUBLE) AS null_rate_after FROM runs WHERE ok""",
+        "run_ranked": RUNS + """SELECT framework, CAST(row_number() OVER (PARTITION BY framework
+  ORDER BY time_total_s ASC NULLS LAST, run_id ASC) AS INTEGER) AS place, run_id, time_total_s FROM runs""",
+    }
+
+
+def _pipeline_run_select() -> str:
+    return _with(f"""SELECT 'SUCCESS' AS status, b.rows AS raw_rows, o.total_transactions AS clean_rows,
+  b.rows AS rows_before, o.total_transactions AS rows_after,
+  {percent('b.rows - o.total_transactions', 'b.rows', RATE_DIGITS)} AS drop_pct,
+  {round_ratio('b.nulls * 100', f'greatest(b.rows * {len(RAW_COLUMNS)}, 1)', NULL_RATE_DIGITS)} AS null_rate_before,
+  {round_ratio('a.nulls * 100', f'greatest(o.total_transactions * {len(CLEAN_COLUMNS)}, 1)', NULL_RATE_DIGITS)} AS null_rate_after,
+  o.total_net_revenue, CAST(o.unique_customers AS DOUBLE) AS unique_customers, o.median_order_value,
+  o.high_value_txn_pct, o.total_transactions AS clean_rows_written
+FROM (SELECT count(*) AS rows, {_null_cells(RAW_COLUMNS, DOUBLE_COLUMNS)} AS nulls FROM prepared) b,
+     (SELECT {_null_cells(CLEAN_COLUMNS, DOUBLE_COLUMNS)} AS nulls FROM clean_table) a,
+     ({_overall_select()}) o""")
+
+
+CSV_QUOTING = """SELECT p_partkey AS product_id, CASE p_partkey % 5 WHEN 0 THEN 'say "' || p_name || '", please'
+  WHEN 1 THEN '  ' || p_name || '  ' WHEN 2 THEN p_name || ',,' WHEN 3 THEN '"' || p_name ELSE p_name END AS product_name,
+  p_retailprice AS price FROM part"""
+
+
 MONEY_COLUMNS = ("gross_revenue", "discount_amt", "net_revenue")
 
 
@@ -240,7 +369,7 @@ def oracle_sql() -> dict[str, str]:
     raw = _cols(RAW_COLUMNS)
     quality_after_cols = CLEAN_COLUMNS
     return {
-        "na_token_normalise": _with(f"SELECT {raw} FROM prepared"),
+        "na_token_normalise": _with(_na_select()),
         "parse_timestamp": _with(_parse_timestamp_select()),
         "exact_dedup": _with(f"SELECT DISTINCT {raw} FROM (SELECT {raw} FROM transactions "
                              f"UNION ALL SELECT {raw} FROM transactions) t"),
@@ -298,6 +427,14 @@ FROM enriched GROUP BY category"""),
             f"SELECT customer_id, {money('SUM(net_revenue)')} AS net_revenue FROM enriched "
             f"GROUP BY customer_id ORDER BY SUM(net_revenue) DESC, customer_id ASC NULLS FIRST "
             f"LIMIT {TOP_CUSTOMERS}"),
+        "approx_quantiles": _with("SELECT quantile_disc(quantity, 0.45) AS quantity_p45, "
+                                  "quantile_disc(quantity, 0.85) AS quantity_p85, "
+                                  "TRUE AS net_p50_within_error, TRUE AS net_p90_within_error FROM enriched"),
+        "kpi_report": _report_select(),
+        "pipeline_run": _pipeline_run_select(),
+        **_run_sql(),
+        "csv_quoting_round_trip": CSV_QUOTING,
+        "partitioned_round_trip": _with(_money_as_double(f"SELECT {_cols(CLEAN_COLUMNS)} FROM clean_table")),
         "replicate_union": _replicate_select(3),
         "csv_round_trip": _with(_money_as_double("SELECT * FROM enriched")),
         "parquet_round_trip": _with(_money_as_double(

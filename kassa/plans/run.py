@@ -2,31 +2,30 @@
 
 Plan, per run:
 
-* one scan of the source; the raw profile (rows, missing cells) is folded
-  into that scan with ``DataFrame.observe`` instead of extra passes;
-* one shuffle for the keyed dedup (exact-row dedup is implied by it);
-* one materialisation of the enriched table: a cache fill
-  (``MEMORY_AND_DISK``; lost blocks are recomputed from lineage, never
-  ``localCheckpoint``) or, with ``staging="table"``, a Parquet table in the
-  target store;
-* the exact quantiles read the cached column;
-* the flagged table is written once as Parquet, with the clean-side profile
-  observed during the write;
-* analytics read the written Parquet back: a lineage cut on the shared
-  store, column pruning per KPI, and a single job for the whole report.
-
-Timings wrap the actions only, so they measure Spark work.
+* extract: one column-pruned aggregate over the source gives the raw profile
+  (an aggregate's result does not change when tasks are run again, which a
+  counter observed below a shuffle would);
+* transform: one shuffle for the keyed dedup (exact-row dedup is implied by
+  it) and one materialisation of the enriched table: a Parquet table in the
+  target store (``staging="table"``, removed at the end) or, for data that fits
+  the cluster's memory, a ``MEMORY_AND_DISK`` cache (``staging="cache"``); the
+  exact quantiles read one column of it;
+* load: the flagged table is written once as Parquet;
+* analytics read the written Parquet back: a lineage cut on the shared store
+  and column pruning per KPI.
 """
 
 from __future__ import annotations
 
 import time
 import traceback
+import uuid
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kassa.config import DEFAULT, MEDIAN_QUANTILE, NULL_RATE_DIGITS, RATE_DIGITS, CleanConfig
@@ -35,11 +34,12 @@ from kassa.operators.clean import clean
 from kassa.operators.enrich import enrich
 from kassa.operators.normalize import prepare
 from kassa.operators.kpis import kpi_tables
-from kassa.operators.report import kpi_report
+from kassa.operators.report import kpi_report, kpi_rows
 from kassa.operators.quantile import quantiles
 from kassa.plans.stages import Thresholds, flag
 from kassa.schema import CLEAN_COLUMNS, RAW_COLUMNS, RUN_METRICS_SCHEMA
-from kassa.sinks.files import append_run_metrics, write_parquet, write_report
+from kassa.session import delete_path
+from kassa.sinks.files import append_run_metrics, write_parquet, write_report, write_rows
 from kassa.sources.parquet import read_clean
 
 
@@ -52,23 +52,10 @@ class RunResult:
     report: DataFrame | None = field(default=None, repr=False)
 
 
-def _observed(df: DataFrame, name: str, columns) -> tuple[DataFrame, Observation]:
-    """``df`` with its row count and missing cells observed as it streams past
-    (no extra pass: the metrics ride along the next action)."""
-    obs = Observation(name)
-    nulls = missing_cells(df.schema, columns)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows"), nulls.alias("nulls")), obs
-
-
-def _observed_value(obs: Observation, df: DataFrame, columns) -> dict:
-    """The observed metrics; if the optimizer proved the plan empty and pruned
-    the observation away, the same two numbers by a direct (trivial) pass."""
-    try:
-        return obs.get
-    except Exception:
-        row = df.agg(F.count(F.lit(1)).alias("rows"),
-                     missing_cells(df.schema, columns).alias("nulls")).first()
-        return row.asDict()
+def _profile(df: DataFrame, columns) -> dict:
+    """Row count and missing cells: one aggregate over the pruned columns."""
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  F.coalesce(missing_cells(df.schema, columns), F.lit(0)).alias("nulls")).first().asDict()
 
 
 def _pct(part: int, whole: int, digits: int) -> float:
@@ -93,98 +80,101 @@ def quality_dict(before: dict, after: dict, n_before: int, n_after: int) -> dict
 def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
                  cfg: CleanConfig = DEFAULT, framework: str = "kassa",
                  partition_by: tuple[str, ...] = (), metrics_path: str | None = None,
-                 kpi_tables_path: str | None = None, staging: str = "cache",
-                 raise_errors: bool = True) -> RunResult:
+                 kpi_tables_path: str | None = None, staging: str = "table",
+                 document: bool = True, raise_errors: bool = True) -> RunResult:
     """Run the four stages on ``raw`` and write everything under ``target``:
-    ``{target}/clean`` (Parquet), ``{target}/kpi_report`` (JSON). The metrics row
-    is appended to ``metrics_path`` when given; with ``kpi_tables_path`` every
-    KPI family is also written as its own Parquet table.
+    ``{target}/clean`` (Parquet), ``{target}/kpi_rows`` (the report as ordered
+    rows, JSON lines) and, with ``document``, ``{target}/kpi_report`` (the same
+    as one JSON document). The metrics row is appended to ``metrics_path`` when
+    given; with ``kpi_tables_path`` every KPI family is also written as its own
+    Parquet table.
 
     ``staging`` picks how the enriched table is materialised between the
-    quantile passes and the final write: ``"cache"`` (``MEMORY_AND_DISK``) or
-    ``"table"`` (written once under ``{target}/_staged`` and read back: the
-    quantile passes then read one Parquet column, and nothing is held in
-    executor memory - for inputs far larger than the cluster's memory).
+    quantile passes and the final write: ``"table"`` (written once under
+    ``{target}/_staged``, read back and deleted at the end) or ``"cache"``
+    (``MEMORY_AND_DISK``), for data that the cluster's memory holds.
 
     Errors are recorded in the metrics with status ERROR (or FAILED (OOM)),
     then re-raised unless ``raise_errors=False``."""
     if staging not in ("cache", "table"):
         raise ValueError("staging is 'cache' or 'table'")
-    clean_path, report_path = f"{target}/clean", f"{target}/kpi_report"
+    clean_path, rows_path, report_path = f"{target}/clean", f"{target}/kpi_rows", f"{target}/kpi_report"
+    staged_path = f"{target}/_staged"
     t_all = time.perf_counter()
-    metrics: dict = {"framework": framework, "scale_label": label,
+    metrics: dict = {"run_id": uuid.uuid4().hex, "framework": framework, "scale_label": label,
                      "cores_used": spark.sparkContext.defaultParallelism}
-    staged = None
+    cached = None
     try:
-        # 1. extract: declare the read; NA tokens + timestamp parse; observe raw profile.
+        # 1. extract: read the source once for its profile; NA tokens, timestamps.
         t0 = time.perf_counter()
         raw_cols = [c for c in RAW_COLUMNS if c in raw.columns]
-        prepared, before_obs = _observed(prepare(raw, cfg), "before", raw_cols)
+        prepared = prepare(raw, cfg)
+        before = _profile(prepared, raw_cols)
         t_extract = time.perf_counter() - t0
 
         # 2. transform: dedup, clean, enrich, materialised once; quantiles read it.
         t0 = time.perf_counter()
         enriched_df = enrich(clean(prepared, cfg), cfg)
         if staging == "table":
-            staged_path = f"{target}/_staged"
             write_parquet(enriched_df, staged_path)
-            staged_table = read_clean(spark, staged_path, enriched_df.schema)
+            staged = read_clean(spark, staged_path, enriched_df.schema)
         else:
-            staged = enriched_df.persist(StorageLevel.MEMORY_AND_DISK)
-            staged_table = staged
-        q = quantiles(staged_table, "net_revenue", [cfg.high_value_quantile, MEDIAN_QUANTILE],
+            staged = cached = enriched_df.persist(StorageLevel.MEMORY_AND_DISK)
+        q = quantiles(staged, "net_revenue", [cfg.high_value_quantile, MEDIAN_QUANTILE],
                       cfg.quantile_error, cache=False)
         th = Thresholds(q[cfg.high_value_quantile], q[MEDIAN_QUANTILE])
-        before = _observed_value(before_obs, prepared, raw_cols)
         t_transform = time.perf_counter() - t0
 
-        # 3. load: flag and write; the clean profile is observed during the write.
+        # 3. load: flag and write.
         t0 = time.perf_counter()
-        final, after_obs = _observed(flag(staged_table, th), "after", CLEAN_COLUMNS)
+        final = flag(staged, th)
         write_parquet(final, clean_path, partition_by=partition_by)
-        after = _observed_value(after_obs, final, CLEAN_COLUMNS)
-        if staged is not None:
-            staged.unpersist()
-            staged = None
+        if cached is not None:
+            cached = cached.unpersist() and None
         t_load = time.perf_counter() - t0
 
-        # 4. analytics: from the written table, one job for the whole report.
+        # 4. analytics: from the written table.
         t0 = time.perf_counter()
         clean_back = read_clean(spark, clean_path, final.schema)
-        report = kpi_report(clean_back, th.median, cfg)
-        write_report(report, report_path)
+        after = _profile(clean_back, CLEAN_COLUMNS)
+        rows = kpi_rows(clean_back, th.median, cfg)
+        write_rows(rows, rows_path)
+        written = spark.read.schema(rows.schema).json(rows_path)
+        scalars = {r["metric"]: r["value"] for r in written.where("section = 'overall'").collect()}
+        if document:
+            write_report(kpi_report(clean_back, th.median, cfg), report_path)
         if kpi_tables_path:
             write_kpi_tables(clean_back, th.median, kpi_tables_path, cfg)
         t_analytics = time.perf_counter() - t0
 
-        quality = quality_dict(before, after, len(raw_cols), len(CLEAN_COLUMNS))
         metrics.update({
             "status": "SUCCESS", "error_msg": None,
             "raw_rows": before["rows"], "clean_rows": after["rows"],
             "time_extract_s": round(t_extract, 4), "time_transform_s": round(t_transform, 4),
             "time_load_s": round(t_load, 4), "time_analytics_s": round(t_analytics, 4),
             "time_total_s": round(time.perf_counter() - t_all, 4),
-            "memory_peak_mb": None, "quality": quality,
+            "memory_peak_mb": None, "kpis": scalars,
+            "quality": quality_dict(before, after, len(raw_cols), len(CLEAN_COLUMNS)),
         })
-        result = RunResult(metrics, clean_path, report_path, th,
-                           spark.read.json(report_path))
+        result = RunResult(metrics, clean_path, report_path if document else rows_path, th,
+                           spark.read.json(report_path) if document else written)
     except Exception as exc:
         text = f"{type(exc).__name__}: {exc}"
         status = "FAILED (OOM)" if "OutOfMemoryError" in text or isinstance(exc, MemoryError) \
             else "ERROR"
-        metrics.update({"status": status, "error_msg": text[:2000], "time_total_s": None})
+        metrics.update({"status": status, "error_msg": text, "time_total_s": None})
         result = RunResult(metrics, clean_path, report_path)
-        if metrics_path:
-            append_run_metrics(metrics_frame(spark, [metrics]), metrics_path)
         if raise_errors:
             raise
         traceback.print_exc()
-        return result
     finally:
-        if staged is not None:
-            staged.unpersist()
-    if metrics_path:
-        append_run_metrics(metrics_frame(spark, [metrics]), metrics_path)
+        if cached is not None:
+            cached.unpersist()
+        if staging == "table":
+            delete_path(spark, staged_path)
+        metrics["finished_at"] = datetime.now(timezone.utc)
+        if metrics_path:
+            append_run_metrics(metrics_frame(spark, [metrics]), metrics_path)
     return result
 
 

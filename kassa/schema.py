@@ -42,7 +42,11 @@ QUALITY_SCHEMA = T.StructType([
 ])
 
 # One row per pipeline run. ``status`` is SUCCESS, FAILED (OOM) or ERROR.
+# A run has its own id and end time; the history may hold several runs of one
+# (framework, scale). ``kpis`` holds the scalar KPIs by name.
 RUN_METRICS_SCHEMA = T.StructType([
+    T.StructField("run_id", T.StringType(), True),
+    T.StructField("finished_at", T.TimestampType(), True),
     T.StructField("framework", T.StringType(), True),
     T.StructField("scale_label", T.StringType(), True),
     T.StructField("status", T.StringType(), True),
@@ -57,4 +61,5 @@ RUN_METRICS_SCHEMA = T.StructType([
     T.StructField("time_total_s", T.DoubleType(), True),
     T.StructField("memory_peak_mb", T.DoubleType(), True),
     T.StructField("quality", QUALITY_SCHEMA, True),
+    T.StructField("kpis", T.MapType(T.StringType(), T.DoubleType()), True),
 ])

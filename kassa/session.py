@@ -1,8 +1,10 @@
-"""Session helpers: a local session for tests/bench and the shared folder."""
+"""Session helpers: a local session for tests and bench; the shared folder and
+the scratch tables in it."""
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,23 +14,17 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "kassa") -> SparkSession:
-    """A local session for tests and the benchmark (UI off, UTC, AQE on)."""
+                  app: str = "kassa", memory: str = "8g") -> SparkSession:
+    """A local session for tests and the benchmark: no web page, UTC, few
+    shuffle partitions; everything else is Spark's default."""
     spark = (SparkSession.builder
              .master(f"local[{cores}]")
              .appName(app)
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-             .config("spark.sql.adaptive.enabled", "true")
-             .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-             .config("spark.sql.adaptive.skewJoin.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
-             .config("spark.sql.parquet.compression.codec", "snappy")
-             .config("spark.driver.memory", "8g")
-             # One machine with memory to spare: skip compressing cached
-             # columns (a cluster keeps Spark's default).
-             .config("spark.sql.inMemoryColumnarStorage.compressed", "false")
+             .config("spark.driver.memory", memory)
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)
@@ -38,27 +34,61 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and is readable by every
-    executor. Only when it is unset (local tests) do we create one, and we
-    register it so ``DataFrame.checkpoint()`` uses the same place.
+    On a cluster the deployment sets it and every executor reads it; without it
+    this is an error there, since a folder of the driver's machine holds only
+    part of what executors write. A purely local session gets a folder of its
+    own, which ``DataFrame.checkpoint()`` then uses too.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="kassa-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique location under the shared folder."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique location under the shared folder. It is deleted by
+    ``release_scratch``, at the latest when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def _store(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, target = _store(spark, path)
+    return store.exists(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of ours through the store's own file system."""
+    store, target = _store(spark, path)
+    return store.delete(target, True)
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
+def release_scratch(spark: SparkSession | None = None, paths: list[str] | None = None) -> None:
+    """Delete scratch tables (all of ``spark``'s, or the given ones) once no
+    DataFrame reads them any more."""
+    for entry in list(_SCRATCH):
+        own, path = entry
+        if (spark is None or own is spark) and (paths is None or path in paths):
+            _SCRATCH.remove(entry)
+            if own.sparkContext._jsc is not None:
+                delete_path(own, path)
 
 
-def ensure_parent(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(os.path.dirname(path.replace("file:", "")) or ".", exist_ok=True)
+@atexit.register
+def _release_all() -> None:
+    try:
+        release_scratch()
+    except Exception:  # the JVM is gone before us: nothing can be deleted any more
+        _SCRATCH.clear()

@@ -1,7 +1,7 @@
 """Writers."""
 
-from kassa.sinks.files import (append_run_metrics, write_csv, write_json, write_parquet,
-                               write_report, written_size_mb)
+from kassa.sinks.files import (append_run_metrics, write_combined_metrics, write_csv,
+                               write_parquet, write_report, write_rows, written_size_mb)
 
-__all__ = ["append_run_metrics", "write_csv", "write_json", "write_parquet",
-           "write_report", "written_size_mb"]
+__all__ = ["append_run_metrics", "write_combined_metrics", "write_csv", "write_parquet",
+           "write_report", "write_rows", "written_size_mb"]

@@ -3,23 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kassa.config import CSV_DIALECT
 from kassa.schema import RAW_SCHEMA
 
 
-def read_transactions_csv(spark: SparkSession, path: str,
-                          schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+CORRUPT = "_corrupt_record"
+
+
+def read_transactions_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
+                          multi_line: bool = False, corrupt: bool = False) -> DataFrame:
     """Read CSV file(s) with the declared schema.
 
     A field that does not parse as its type becomes null (PERMISSIVE), the
     other fields of the row are kept. The empty string is null; the other
     missing-value tokens are mapped by ``operators.normalize_na_tokens``
     (Spark's reader has a single ``nullValue``).
+
+    ``multi_line`` reads line ends inside quoted fields; a file is then read by
+    one task, so it is off by default. ``corrupt`` adds the text of a row that
+    did not fit the schema as ``_corrupt_record`` (null for a sound row).
     """
+    if corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     return (spark.read
             .schema(schema)
-            .option("header", True)
+            .options(**CSV_DIALECT)
             .option("mode", "PERMISSIVE")
             .option("enforceSchema", True)
+            .option("multiLine", multi_line)
+            .option("columnNameOfCorruptRecord", CORRUPT)
             .csv(path))
+
+
+def corrupt_rows(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
+                 multi_line: bool = False) -> DataFrame:
+    """One row: how many rows there are and how many did not fit the schema."""
+    rows = read_transactions_csv(spark, path, schema, multi_line, corrupt=True)
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count(CORRUPT).alias("corrupt_rows"))

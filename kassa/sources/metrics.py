@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kassa.schema import RUN_METRICS_SCHEMA
+from kassa.session import path_exists
 
 
 def read_run_metrics(spark: SparkSession, path: str, pattern: str = "*_metrics_*.json",
@@ -26,6 +27,9 @@ def load_run_metrics(spark: SparkSession, directory: str,
     whole = read_run_metrics(spark, directory, combined)
     if not whole.isEmpty():  # a small document: the check reads at most one run
         return whole
+    folder = f"{directory.rstrip('/')}/{combined}"
+    if path_exists(spark, folder):  # as written by sinks.write_combined_metrics
+        return read_run_metrics(spark, folder, "part-*.json", multiline=False)
     per_run = read_run_metrics(spark, directory)                      # one document each
     appended = read_run_metrics(spark, directory, "part-*.json", multiline=False)  # our sink
     return per_run.unionByName(appended)

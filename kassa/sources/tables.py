@@ -29,17 +29,8 @@ TABLES_CONFIG = CleanConfig(tie_breakers=(TIE_BREAK_COLUMN, "product_id"),
                             drop_after_dedup=(TIE_BREAK_COLUMN,))
 
 
-_READERS: dict[tuple[str, str], DataFrame] = {}
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table reader, made once per session and path (the file listing and
-    footer schema are read once; the DataFrame itself stays lazy)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _READERS:
-        _READERS[key] = spark.read.parquet(path)
-    return _READERS[key]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _every(col: str, n: int):
