@@ -42,4 +42,7 @@ def corrupt_rows(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHE
                  multi_line: bool = False) -> DataFrame:
     """One row: how many rows there are and how many did not fit the schema."""
     rows = read_transactions_csv(spark, path, schema, multi_line, corrupt=True)
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count(CORRUPT).alias("corrupt_rows"))
+    # Whether a row is sound is known only when all of its columns are parsed.
+    whole = F.concat_ws("", *[F.col(f.name).cast("string") for f in schema.fields])
+    broken = F.when(F.col(CORRUPT).isNotNull(), whole)
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count(broken).alias("corrupt_rows"))

@@ -1,0 +1,201 @@
+"""Edges of money, CSV, quantiles, scratch, sinks and run history."""
+
+from __future__ import annotations
+
+import os
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from kassa import session
+from kassa.config import DEFAULT
+from kassa.operators import compare
+from kassa.operators.clean import clean
+from kassa.operators.enrich import enrich
+from kassa.operators.normalize import prepare
+from kassa.operators.quality import quality_one_pass, quality_report
+from kassa.operators.quantile import order_statistics
+from kassa.plans import catalog
+from kassa.plans.run import metrics_frame, run_pipeline
+from kassa.schema import CLEAN_COLUMNS, RAW_COLUMNS, RAW_SCHEMA
+from kassa.session import scratch_path
+from kassa.sinks.files import write_combined_metrics, write_csv, write_parquet
+from kassa.sources.csv import corrupt_rows, read_transactions_csv
+from kassa.sources.metrics import load_run_metrics
+from kassa.sources.tables import TABLES_CONFIG, transactions_from_tables
+
+
+def row(i, price=10.0, quantity=1, discount=0.0, name="n"):
+    return (i, 1, 1, name, "Books", price, quantity, discount, "paypal", "completed", "North", "mobile",
+            "2024-01-01 00:00:00", False)
+
+
+def test_large_prices_run_to_the_end_and_are_counted(spark):
+    raw = spark.createDataFrame([row(1, 1e13), row(2, 5e11, 10), row(3, 1e18), row(4, 1e300), row(5, 9e17, 2 ** 31 - 1, 0.5)],
+                                RAW_SCHEMA)
+    result = run_pipeline(spark, raw, scratch_path(spark, "large"), "large", DEFAULT)
+    assert result.metrics["status"] == "SUCCESS"
+    assert (result.metrics["raw_rows"], result.metrics["clean_rows"]) == (5, 3)
+    nets = {r.transaction_id: r.net_revenue for r in spark.read.parquet(result.clean_path).collect()}
+    assert nets[1] == Decimal(10) ** 13 and nets[2] == Decimal(5) * 10 ** 12
+    assert nets[5] == Decimal("900000000000000000") * (2 ** 31 - 1) / 2
+
+
+def test_discount_is_rounded_once(spark):
+    raw = spark.createDataFrame([row(i, p, q, d) for i, (p, q, d) in enumerate(
+        [(0.000001, 1, 0.5), (123.456789, 7, 0.333333), (999999.999999, 10, 0.123457), (0.000003, 1, 0.499999)])], RAW_SCHEMA)
+    six = Decimal("0.000001")
+    for r in enrich(clean(prepare(raw))).collect():
+        gross = Decimal(str(r.price)).quantize(six) * r.quantity
+        want = (gross * Decimal(str(r.discount)).quantize(six)).quantize(six, rounding="ROUND_HALF_UP")
+        assert r.discount_amt == want and r.net_revenue == gross - want
+
+
+def test_csv_dialect(spark, tmp_path):
+    path = str(tmp_path / "x.csv")
+    with open(path, "w") as f:
+        f.write(",".join(RAW_COLUMNS) + "\n")
+        f.write('1,2,3,"a ""b"", c",Books,10.0,1,0.1,paypal,completed,North,mobile,2024-01-01 00:00:00,False\n')
+        f.write('2,2,3,"two\nlines",Books,10.0,1,0.1,paypal,completed,North,mobile,2024-01-01 00:00:00,False\n')
+        f.write('3,2,3,  pad  ,Books,ten,1,0.1,paypal,completed,North,mobile,2024-01-01 00:00:00,False\n')
+    rows = {r.transaction_id: r for r in read_transactions_csv(spark, path, multi_line=True).collect()}
+    assert rows[1].product_name == 'a "b", c' and rows[1].price == 10.0
+    assert rows[2].product_name == "two\nlines" and rows[2].category == "Books"
+    assert rows[3].product_name == "  pad  " and rows[3].price is None
+    assert tuple(corrupt_rows(spark, path, multi_line=True).first()) == (3, 1)
+    assert corrupt_rows(spark, path).first().corrupt_rows == 3      # the broken rows are counted, not lost
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([(1, ' "q", x '), (2, "line\nend"), (3, '"')], "id long, name string")
+    write_csv(df, out)
+    back = read_transactions_csv(spark, out, df.schema, multi_line=True)
+    assert sorted(map(tuple, back.collect())) == [(1, ' "q", x '), (2, "line\nend"), (3, '"')]
+
+
+def test_every_na_token_occurs(spark, sf_small):
+    names = {r.product_name for r in catalog.na_token_normalise(spark, sf_small).select("product_name").distinct().collect()}
+    assert names.isdisjoint(DEFAULT.na_tokens) and None in names
+    products = spark.read.parquet(f"{sf_small}/lineitem.parquet").where("l_partkey % 7 = 0")
+    used = products.selectExpr(f"floor(l_partkey / 7) % {len(DEFAULT.na_tokens)} AS t").distinct().count()
+    assert used == len(DEFAULT.na_tokens)
+
+
+@pytest.mark.parametrize("values", [
+    [5e-324] * 40 + [1e-323] * 40 + [1.5e-323] * 40,                       # steps that cannot be halved
+    [Decimal("12345678901234567890.000001")] * 50 + [Decimal("12345678901234567890.000002")] * 50
+    + [Decimal("12345678901234567890.000003")] * 50])
+def test_quantile_of_adjacent_values(spark, values):
+    kind = "double" if isinstance(values[0], float) else "decimal(38,6)"
+    df = spark.createDataFrame([(v,) for v in values], f"x {kind}")
+    n, got = order_statistics(df, "x", range(0, len(values), 7), buckets=4)
+    assert n == len(values) and got == {r: sorted(values)[r] for r in range(0, n, 7)}
+
+
+class _Cluster:
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class conf:
+        @staticmethod
+        def get(name, default=None):
+            return default
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(RuntimeError):
+        session.shared_dir(_Cluster)
+    _Cluster.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        session.shared_dir(_Cluster)
+
+
+def _local(path):
+    return path.removeprefix("file:")
+
+
+def test_scratch_is_released(spark):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(_local(path))
+    session.release_scratch(spark, [path])
+    assert not os.path.exists(_local(path))
+
+
+def test_run_leaves_only_its_results(spark, sf_small):
+    target = scratch_path(spark, "left")
+    result = run_pipeline(spark, transactions_from_tables(spark, sf_small), target, "x", TABLES_CONFIG,
+                          kpi_tables_path=f"{target}/kpis", document=False)
+    assert sorted(os.listdir(_local(target))) == ["clean", "kpi_rows", "kpis"]
+    assert result.metrics["kpis"]["total_transactions"] == result.metrics["clean_rows"]
+    assert result.metrics["time_extract_s"] > 0.02 and result.metrics["run_id"]
+
+
+def test_long_error_text_is_kept(spark):
+    raw = spark.createDataFrame([row(1)], RAW_SCHEMA)
+    raw = raw.withColumn("region", F.when(F.col("price") > 0, F.raise_error(F.lit("e" * 5000)).cast("string")))
+    metrics = scratch_path(spark, "metrics-long")
+    result = run_pipeline(spark, raw, scratch_path(spark, "bad"), "bad", DEFAULT, metrics_path=metrics, raise_errors=False)
+    assert len(result.metrics["error_msg"]) > 2000
+
+
+def test_partitioned_sink_writes_few_files(spark, sf_small):
+    df = enrich(clean(prepare(transactions_from_tables(spark, sf_small), TABLES_CONFIG), TABLES_CONFIG), TABLES_CONFIG)
+    path = scratch_path(spark, "few")
+    write_parquet(df.repartition(16), path, partition_by=("year", "month"))
+    files = [f for _, _, names in os.walk(_local(path)) for f in names if f.endswith(".parquet")]
+    values = df.select("year", "month").distinct().count()
+    assert len(files) <= values + 4
+    assert spark.read.parquet(path).count() == df.count()
+
+
+def _metrics(fw, run, total, at, status="SUCCESS"):
+    return {"run_id": run, "finished_at": at, "framework": fw, "scale_label": "1M", "status": status,
+            "raw_rows": 10, "time_total_s": total, "kpis": {"x": 1.0}}
+
+
+def test_newest_run_of_a_scale_counts(spark, tmp_path):
+    day = [datetime(2024, 1, d) for d in range(1, 5)]
+    runs = metrics_frame(spark, [_metrics("pandas", "a", 4.0, day[0]), _metrics("pandas", "b", 6.0, day[2]),
+                                 _metrics("pyspark", "c", 3.0, day[3]), _metrics("pyspark", "d", 9.0, day[1]),
+                                 _metrics("pyspark", "e", 1.0, None)])
+    (only,) = compare.speedup(runs).collect()
+    assert (only.base_total_s, only.cand_total_s, only.speedup) == (6.0, 3.0, 2.0)
+    failed = runs.unionByName(metrics_frame(spark, [_metrics("pyspark", "f", None, datetime(2024, 2, 1), "ERROR")]))
+    assert compare.speedup(failed).first().speedup is None
+    write_combined_metrics(runs, str(tmp_path / "combined_metrics.json"))
+    back = load_run_metrics(spark, str(tmp_path))
+    assert back.count() == 5 and back.first().kpis == {"x": 1.0}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_report_scans_once(spark, sf_small):
+    plan = _plan(catalog.quality_report_q(spark, sf_small))
+    assert plan.count("FileScan parquet [l_") == 1
+
+
+def test_replicate_scans_once(spark, sf_small):
+    assert _plan(catalog.replicate_union(spark, sf_small)).count("FileScan parquet [l_") == 1
+
+
+def test_overall_sums_are_not_expanded(spark, sf_small):
+    plan = _plan(catalog.overall_kpis(spark, sf_small))
+    assert all("net_revenue" not in line for line in plan.splitlines() if "Expand" in line)
+
+
+def test_quality_one_pass_equals_the_two_sided_report(spark):
+    rows = [row(1), row(1, name=None), row(2, -1.0), row(3, 5.0, 0), row(None), row(None), row(4, float("nan")),
+            row(5, 1e300), row(6, None), row(7, 3.0, 2, None, None), row(7, 4.0)]
+    prepared = prepare(spark.createDataFrame(rows, RAW_SCHEMA))
+    after = enrich(clean(prepared)).withColumn("is_high_value", F.lit(0))
+    want = quality_report(prepared, after, RAW_COLUMNS, CLEAN_COLUMNS).first()
+    assert quality_one_pass(prepared, DEFAULT, RAW_COLUMNS, CLEAN_COLUMNS).first() == want
+    empty = prepared.limit(0)
+    assert tuple(quality_one_pass(empty, DEFAULT, RAW_COLUMNS, CLEAN_COLUMNS).first())[:3] == (0, 0, 0)
