@@ -193,13 +193,13 @@ def learn(rows: np.ndarray, bad: np.ndarray, names: list[str], least_precision:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-        label: str = "quality", most_rows: int = MAX_LABELLED, seed: int = 7,
-        **options) -> list[Rule]:
+        label: str = "quality", label_key: str | None = None, most_rows: int = MAX_LABELLED,
+        seed: int = 7, **options) -> list[Rule]:
     """Rules from at most ``most_rows`` labelled documents, in hash order (the
     bound of the broadcast and of what reaches the driver). ``quality = 0``
     rows are the bad class. Only the sampled documents are measured."""
     names = list(features())
-    sample = (labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
+    sample = (labels.select(F.col(label_key or key).alias("_k"), F.col(label).cast("int").alias("_y"))
               .where("_k IS NOT NULL AND _y IS NOT NULL")
               .orderBy(F.xxhash64("_k", F.lit(seed)), "_k", "_y").limit(most_rows))
     named = docs.select(F.col(key).alias("_d"), F.col(text).alias("_x"))
@@ -240,7 +240,7 @@ def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc
     the columns of ``docs`` as they came."""
     names = {c: f"_in_{c}" for c in docs.columns}
     df = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
-    judged = judge(df, labels, names[text], names[key], **options)
+    judged = judge(df, labels, names[text], names[key], label_key=key, **options)
     return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
