@@ -46,8 +46,8 @@ THRESHOLD = (3, 4)              # similarity >= 3 / 4
 LEAST_HASHES = 8                # star tokens of a document
 COUNTERS = 1 << 20              # counters of the rarity table (4 MB broadcast)
 _PIECES = 64
-TOKENS_PER_TASK = 1_000_000     # prefix tokens joined by one task
-SHINGLES_PER_TASK = 2_000_000   # shingles of the home documents of a verifying task
+TOKENS_PER_TASK = 600_000       # prefix tokens joined by one task
+SHINGLES_PER_TASK = 1_000_000   # shingles of the home documents of a verifying task
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -263,6 +263,7 @@ def _verify(pairs: DataFrame, packed: DataFrame, homes: int, t) -> DataFrame:
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    pairs = pairs.repartition("home")          # one exchange for both uses
     asked = pairs.mapInArrow(wanted, "doc long, home long").distinct()
     sent = packed.join(asked, F.col("doc_id") == F.col("doc")).select("home", "doc_id", "z")
     return sent.groupBy("home").cogroup(pairs.groupBy("home")).applyInArrow(check, "a long, b long")
@@ -430,7 +431,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "node", F.coalesce("component", "node").alias("component"))
     label = stored(label, "jaccard-labels")
     labelled = packed.join(label, F.col("doc_id") == F.col("node")).select("doc_id", "component", "z")
-    pairs = stored(_prefix_pairs(_prefix_tokens(labelled, rarity, tasks, t), homes, t), "jaccard-pairs")
+    # One query from here: the exchange of the packed texts serves both joins.
+    pairs = _prefix_pairs(_prefix_tokens(labelled, rarity, tasks, t), homes, t)
     second = connected_components(_verify(pairs, packed, homes, t))
     final = label.join(second.select(F.col("node").alias("component"), F.col("component").alias("whole")),
                        "component", "left").select("node", F.coalesce("whole", "component").alias("whole"))
