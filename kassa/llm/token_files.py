@@ -275,7 +275,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     write_bytes(ordered.mapInArrow(segments, "blob binary"), path)
 
 
-def _bounded(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def _bounded(batch: pa.RecordBatch, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` text bytes (one text at least)."""
     size = np.cumsum(pc.binary_length(batch.column("t")).fill_null(0).to_numpy(zero_copy_only=False))
     lo, before = 0, 0
