@@ -12,14 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kassa.session import scratch_path
+from kassa.session import release_scratch, scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back (a lineage cut)."""
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back (a lineage cut)."""
+    return _stored(df, name)[0]
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,18 +42,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none: stars."""
+    down = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    open_ = edges.join(down.select(F.col("u").alias("k")), F.col("v") == F.col("k"), "left_semi")
+    return down.where("n > 1").select("u").limit(1).union(open_.select("u").limit(1)).isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node of the component) for every node of
     the edges ``a, b``; self loops and nulls are no edges."""
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                 .distinct(), "components")
-    seen = None
-    while True:
-        now = stored(_star(_star(now, large=True), large=False), "components")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
+    now, path = _stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                        .distinct(), "components")
+    while not _is_forest(now):
+        last = path
+        now, path = _stored(_star(_star(now, large=True), large=False), "components")
+        release_scratch(now.sparkSession, [last])       # only this round reads the one before
     roots = now.select(F.col("v").alias("node")).distinct()
     return (now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .union(roots.select("node", F.col("node").alias("component"))))
