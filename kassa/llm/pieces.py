@@ -166,7 +166,8 @@ class Encoder:
         usable = np.ones(len(v.points), dtype=bool)
         usable[self.piece_of_point[missing]] = False
         usable = np.flatnonzero(usable)
-        edges = np.full(len(points) * v.depth, -1, dtype=np.int32)
+        small = len(v.points) < 1 << 15
+        edges = np.full(len(points) * v.depth, -1, dtype=np.int16 if small else np.int32)
         if len(usable):
             first, last = index.ranges([v.points[i] for i in usable])
             count = last - first
@@ -211,15 +212,14 @@ class Encoder:
             at = at[is_start[at]]
         at = np.flatnonzero(is_start)
         length = np.minimum(np.append(at[1:], n), chunk_end[at]) - at
-        return at, edges[at * v.depth + length - 1]
+        return at, edges[at * v.depth + length - 1].astype(np.int64)
 
     def _relax_heap(self, edges: np.ndarray, lo: int, hi: int, is_start: np.ndarray) -> None:
         """The same relaxation of one long chunk, by a heap of candidate edges."""
         v, size = self.v, hi - lo
         nxt, prv = list(range(1, size + 1)), list(range(-1, size - 1))
         alive = [True] * size
-        own = edges[lo * v.depth:hi * v.depth]
-        rank_of = np.where(own >= 0, v.rank[own], _NO_RANK)
+        own, rank = edges[lo * v.depth:hi * v.depth], v.rank.tolist()
         heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
@@ -227,9 +227,9 @@ class Encoder:
             if j < size:
                 end = nxt[j]
                 if end - i <= v.depth:
-                    rank = int(rank_of[i * v.depth + end - i - 1])
-                    if rank < _NO_RANK:
-                        heapq.heappush(heap, (rank, i, end))
+                    piece = int(own[i * v.depth + end - i - 1])
+                    if piece >= 0:
+                        heapq.heappush(heap, (rank[piece], i, end))
 
         for i in range(size):
             offer(i)
