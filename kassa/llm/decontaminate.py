@@ -23,7 +23,7 @@ replaced by it in ``mark`` (``remove_spans`` keeps every input column).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kassa.llm.words import ALNUM_WORDS, Words, text_slices, window_hashes
+from kassa.llm.words import ALNUM_WORDS, Words, text_slices, tidy, window_hashes
 
 WINDOW = 13
 COVERAGE = (1, 20)              # contaminated: hit * 20 >= words * 1
@@ -204,21 +204,32 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
 
 def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = WINDOW, coverage: tuple[int, int] = COVERAGE,
-         block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items (sorted ids), spans (flat
-    start/end word pairs of the hit spans) and contaminated, each name after
-    ``prefix``."""
-    names_out = [prefix + c for c in RESULT]
-    docs = docs.drop(*names_out)
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(items, item_id, item_text, block_bytes)]
+    start/end word pairs of the hit spans) and contaminated."""
+    docs = docs.drop(*RESULT)
+    judge = _judge(docs, items, text, item_id, item_text, window, coverage, block_bytes)
     schema = T.StructType(docs.schema.fields + [
-        T.StructField(name, kind) for name, kind in zip(names_out, (
+        T.StructField(name, kind) for name, kind in zip(RESULT, (
             T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()),
             T.ArrayType(T.LongType()), T.BooleanType()))])
-    least, of = coverage
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, result in judge(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *result], [*batch.schema.names, *RESULT])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _judge(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int,
+           coverage: tuple[int, int], block_bytes: int) -> Callable:
+    """A function from batches of ``docs`` to (batch, result columns)."""
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(b) for b in _blocks(items, item_id, item_text, block_bytes)]
+    least, of = coverage
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         built = Block(blocks[0].value, window) if len(blocks) == 1 else None
         for batch in batches:
             n = batch.num_rows
@@ -251,36 +262,35 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
                         spans[lo + d] = np.stack([np.flatnonzero(own == 1),
                                                   np.flatnonzero(own == -1)], 1).ravel().tolist()
             ids = [sorted(x for x in names.get(d, ()) if x is not None) for d in range(n)]
-            columns = [*batch.columns, pa.array(n_words), pa.array(n_hit),
-                       pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.string())),
-                       pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.int64())),
-                       pa.array((n_hit > 0) & (of * n_hit >= least * n_words))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names_out])
+            yield batch, [pa.array(n_words), pa.array(n_hit),
+                          pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.string())),
+                          pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.int64())),
+                          pa.array((n_hit > 0) & (of * n_hit >= least * n_words))]
 
-    return docs.mapInArrow(run, schema)
+    return judge
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
+                 item_text: str = "text", window: int = WINDOW, coverage: tuple[int, int] = COVERAGE,
+                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with every hit word cut from the text (the words between stay
     as they are); a document over the coverage limit is dropped whole."""
-    prefix = "decontaminated_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
-    columns = docs.columns
-    marked = mark(docs, items, text, prefix=prefix, **options)
+    judge = _judge(docs, items, text, item_id, item_text, window, coverage, block_bytes)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, (_, n_hit, _, _, spans, contaminated) in judge(batches):
             at = batch.schema.get_field_index(text)
-            if pc.sum(pc.list_value_length(batch.column(prefix + "spans"))).as_py():
-                out = batch.column(at).to_pylist()
-                for d, flat in enumerate(batch.column(prefix + "spans").to_pylist()):
+            if pc.any(pc.greater(n_hit, 0)).as_py():
+                field, column = batch.schema.field(at), batch.column(at).to_pylist()
+                for d, flat in enumerate(spans.to_pylist()):
                     if flat:
-                        out[d] = _cut(out[d], flat)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-            yield batch.select(columns)
+                        column[d] = _cut(column[d], flat)
+                batch = batch.set_column(at, field, pa.array(column, field.type))
+                batch = batch.filter(pc.invert(contaminated))
+            yield batch
 
-    return marked.where(~F.col(prefix + "contaminated")).mapInArrow(cut, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _cut(text: str, flat: list[int]) -> str:

@@ -39,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kassa.llm.components import connected_components, stored
-from kassa.llm.words import SPACE_WORDS, Words, mix, ragged, text_slices, window_hashes
+from kassa.llm.words import (SPACE_WORDS, Words, give_back, mix, ragged, text_slices, tidy,
+                             window_hashes)
 
 SHINGLE = 5
 THRESHOLD = (3, 4)              # similarity >= 3 / 4
@@ -100,6 +101,7 @@ _SIGNATURE = "doc_id long, n long, k1 long, k2 long, least array<long>, piece in
 def _signatures(docs: DataFrame) -> DataFrame:
     """A row per document (size, set key, least hashes) and, per task, the
     pieces of its rarity counts."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in batches:
@@ -158,6 +160,7 @@ def _rarity(signatures: DataFrame) -> np.ndarray:
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id and compressed text: what crosses the network."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -261,6 +264,7 @@ def _verify(pairs: DataFrame, packed: DataFrame, homes: int, t) -> DataFrame:
             links = _verified(own.reshape(-1, 4), texts.column("doc_id").to_pylist(),
                               list(_sets(texts.column("z"))), t)
         a, b = zip(*links) if links else ((), ())
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     pairs = pairs.repartition("home")          # one exchange for both uses
@@ -306,6 +310,7 @@ _DOC = np.dtype([("id", "<i8"), ("component", "<i8"), ("n", "<i8")])
 
 def _prefix_tokens(labelled: DataFrame, rarity, tasks: int, t) -> DataFrame:
     """Packed prefix tokens of every representative, by token range."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = rarity.value
         for batch in batches:
@@ -404,6 +409,7 @@ def _prefix_pairs(tokens: DataFrame, homes: int, t) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         blobs = [b for pairs in _join_tokens(table, t) for b in _pair_blobs(pairs, homes)]
         keys, values = zip(*blobs) if blobs else ((), ())
+        give_back()
         return pa.table({"home": pa.array(keys, pa.int64()), "pairs": pa.array(values, pa.binary())})
     return tokens.groupBy("task").applyInArrow(run, "home long, pairs binary")
 

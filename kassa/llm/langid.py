@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kassa.llm.words import LOWER, text_slices
+from kassa.llm.words import LOWER, text_slices, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -198,6 +198,7 @@ def predict(docs: DataFrame, net: ByteCnn, text: str = "text") -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None
         for batch in batches:

@@ -24,18 +24,17 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kassa.llm.words import _P, _PI, _ranges_hash, ragged
+from kassa.llm.words import _P, _PI, _ranges_hash, ragged, tidy
 
 MARK = "▁"
 LONG = 200                      # characters of a chunk that relaxes through a heap
-BLOCK_BYTES = 2 << 20          # text indexed at once
+BLOCK_BYTES = 1 << 20          # text indexed at once
 _NO_RANK = np.int64(1 << 40)
 
 
@@ -277,9 +276,8 @@ class Encoder:
         start[-1] = False
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(buf))
-        code, _ = pd.factorize(_ranges_hash(buf.astype(np.uint64) + np.uint64(1), begin, end, _P, _PI))
-        first = np.full(int(code.max()) + 1, -1)
-        first[code[::-1]] = np.arange(len(code))[::-1]
+        _, first, code = np.unique(_ranges_hash(buf.astype(np.uint64) + np.uint64(1), begin, end, _P, _PI),
+                                   return_index=True, return_inverse=True)
         # The distinct chunks with a byte between them, as code points plus one
         # (so that 0 is no character).
         size_of = end[first] - begin[first] + 1
@@ -349,6 +347,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", check: bool = True)
                                                T.StructField("n_ids", T.LongType())]
     schema = T.StructType(fields + [T.StructField("round_trip", T.BooleanType())] * check)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lo = 0
@@ -375,6 +374,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "text") ->
     source = docs.select(F.col(ids).alias("_ids"), *[F.col(c) for c in rest])
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(text, T.StringType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)

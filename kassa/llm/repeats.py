@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kassa.llm.components import stored
-from kassa.llm.words import SPACE_WORDS, Words, mix, text_slices, window_hashes
+from kassa.llm.words import (SPACE_WORDS, Words, give_back, mix, text_slices, tidy,
+                             window_hashes)
 
 WINDOW = 35
 PREFIX = 12
@@ -154,6 +155,8 @@ def subtree(one: np.ndarray, two: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def _table(schema: str, *columns) -> pa.Table:
+    """A group's result; what the group needed goes back to the system."""
+    give_back()
     types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [f.strip().split(" ") for f in schema.split(",")]
     return pa.table({n: pa.array(c, types[t]) for (n, t), c in zip(fields, columns)})
@@ -190,6 +193,7 @@ def kept_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     prefix_tasks = max(8, size // 70 // PREFIXES_PER_TASK)   # a place in some 70 bytes
     groups = max(8, size // GROUP_BYTES)
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -273,6 +277,7 @@ def kept_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
             for p, n, raw in _replies(replies, 2):
                 deep[cuts[p]:cuts[p + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n) > 0
             gone = b.covered(start[deep[leaf]])
+        give_back()
         first = np.concatenate([[0], np.cumsum(b.n_words)])
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
         out = []

@@ -32,7 +32,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kassa.llm.sinks import read_bytes, write_bytes
-from kassa.llm.words import ragged
+from kassa.llm.words import ragged, tidy
 from kassa.session import scratch_path
 
 MAGIC = b"EFTOKEN1"
@@ -242,6 +242,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                .repartitionByRange("d", "h", "r").sortWithinPartitions("d", "h", "r")
                .select("d", "t"))
 
+    @tidy
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         partition, seq = TaskContext.get().partitionId(), 0

@@ -8,7 +8,9 @@ give exactly the words a code-point pattern gives. Word and window hashes are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, _U(base), dtype=_U)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _POWERS[base] = have
     return have[:n]
 
@@ -145,6 +147,26 @@ def text_slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int
         lo = hi
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function that gives freed memory back when its task ends: Spark
+    keeps the worker process, and with it what the allocators hold on to."""
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass                                   # not glibc
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start..start+length of every range, concatenated."""
     total = int(lengths.sum())
