@@ -40,6 +40,8 @@ def main(argv: list[str] | None = None) -> int:
                      help="comma-separated sink partition columns, e.g. year,month")
     run.add_argument("--staging", choices=("cache", "table"), default="table",
                      help="materialise the enriched table as a table or in memory")
+    run.add_argument("--document", action="store_true",
+                     help="the KPI report as one JSON document instead of rows")
     run.add_argument("--multi-line", action="store_true", help="line ends inside quoted CSV fields")
 
     gen = sub.add_parser("generate", help="write synthetic transactions as CSV")
@@ -73,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
                               args.label, cfg, metrics_path=args.metrics,
                               kpi_tables_path=f"{args.target}/kpis" if args.kpi_tables else None,
                               partition_by=tuple(c for c in args.partition_by.split(",") if c),
-                              staging=args.staging)
+                              staging=args.staging, document=args.document)
         print(json.dumps(result.metrics, default=str))
     elif args.cmd == "generate":
         from kassa.sources.generate import generate_dataset

@@ -27,6 +27,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kassa.config import DEFAULT, MEDIAN_QUANTILE, NULL_RATE_DIGITS, RATE_DIGITS, CleanConfig
 from kassa.functions.columns import missing_cells
@@ -81,13 +82,14 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
                  cfg: CleanConfig = DEFAULT, framework: str = "kassa",
                  partition_by: tuple[str, ...] = (), metrics_path: str | None = None,
                  kpi_tables_path: str | None = None, staging: str = "table",
-                 document: bool = True, raise_errors: bool = True) -> RunResult:
+                 document: bool = False, raise_errors: bool = True) -> RunResult:
     """Run the four stages on ``raw`` and write everything under ``target``:
-    ``{target}/clean`` (Parquet), ``{target}/kpi_rows`` (the report as ordered
-    rows, JSON lines) and, with ``document``, ``{target}/kpi_report`` (the same
-    as one JSON document). The metrics row is appended to ``metrics_path`` when
-    given; with ``kpi_tables_path`` every KPI family is also written as its own
-    Parquet table.
+    ``{target}/clean`` (Parquet) and ``{target}/kpi_report``, the report as rows
+    (section, position, key, metric, value) or, with ``document``, as one JSON
+    document whose arrays hold a section's groups (for columns of few values).
+    The metrics row is appended to ``metrics_path`` when given; with
+    ``kpi_tables_path`` every KPI family is also written as its own Parquet
+    table.
 
     ``staging`` picks how the enriched table is materialised between the
     quantile passes and the final write: ``"table"`` (written once under
@@ -98,7 +100,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
     then re-raised unless ``raise_errors=False``."""
     if staging not in ("cache", "table"):
         raise ValueError("staging is 'cache' or 'table'")
-    clean_path, rows_path, report_path = f"{target}/clean", f"{target}/kpi_rows", f"{target}/kpi_report"
+    clean_path, report_path = f"{target}/clean", f"{target}/kpi_report"
     staged_path = f"{target}/_staged"
     t_all = time.perf_counter()
     metrics: dict = {"run_id": uuid.uuid4().hex, "framework": framework, "scale_label": label,
@@ -137,12 +139,18 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
         t0 = time.perf_counter()
         clean_back = read_clean(spark, clean_path, final.schema)
         after = _profile(clean_back, CLEAN_COLUMNS)
-        rows = kpi_rows(clean_back, th.median, cfg)
-        write_rows(rows, rows_path)
-        written = spark.read.schema(rows.schema).json(rows_path)
-        scalars = {r["metric"]: r["value"] for r in written.where("section = 'overall'").collect()}
         if document:
-            write_report(kpi_report(clean_back, th.median, cfg), report_path)
+            report = kpi_report(clean_back, th.median, cfg)
+            write_report(report, report_path)
+            written = spark.read.schema(report.schema).json(report_path)
+            first = written.first()
+            scalars = {f.name: float(first[f.name]) for f in report.schema.fields
+                       if isinstance(f.dataType, T.NumericType)}
+        else:
+            rows = kpi_rows(clean_back, th.median, cfg)
+            write_rows(rows, report_path)
+            written = spark.read.schema(rows.schema).json(report_path)
+            scalars = {r["metric"]: r["value"] for r in written.where("section = 'overall'").collect()}
         if kpi_tables_path:
             write_kpi_tables(clean_back, th.median, kpi_tables_path, cfg)
         t_analytics = time.perf_counter() - t0
@@ -156,8 +164,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
             "memory_peak_mb": None, "kpis": scalars,
             "quality": quality_dict(before, after, len(raw_cols), len(CLEAN_COLUMNS)),
         })
-        result = RunResult(metrics, clean_path, report_path if document else rows_path, th,
-                           spark.read.json(report_path) if document else written)
+        result = RunResult(metrics, clean_path, report_path, th, written)
     except Exception as exc:
         text = f"{type(exc).__name__}: {exc}"
         status = "FAILED (OOM)" if "OutOfMemoryError" in text or isinstance(exc, MemoryError) \

@@ -21,7 +21,7 @@ def run(spark, sf_small):
     target = scratch_path(spark, "pipeline")
     metrics = scratch_path(spark, "metrics")
     result = run_pipeline(spark, transactions_from_tables(spark, sf_small), target, "sf0.001",
-                          CFG, metrics_path=metrics, kpi_tables_path=f"{target}/kpis")
+                          CFG, metrics_path=metrics, kpi_tables_path=f"{target}/kpis", document=True)
     return result, metrics
 
 
@@ -111,7 +111,7 @@ def test_everything_dropped_gives_zero_kpis(spark):
     from kassa.config import DEFAULT
     from kassa.sources.generate import generate_transactions
     raw = generate_transactions(spark, 200).withColumn("price", -F.col("price"))
-    result = run_pipeline(spark, raw, scratch_path(spark, "empty"), "empty", DEFAULT)
+    result = run_pipeline(spark, raw, scratch_path(spark, "empty"), "empty", DEFAULT, document=True)
     m = result.metrics
     assert m["status"] == "SUCCESS" and m["clean_rows"] == 0
     assert m["quality"]["drop_pct"] == 100.0 and m["quality"]["null_rate_after"] == 0.0

@@ -130,7 +130,7 @@ def test_run_leaves_only_its_results(spark, sf_small):
     target = scratch_path(spark, "left")
     result = run_pipeline(spark, transactions_from_tables(spark, sf_small), target, "x", TABLES_CONFIG,
                           kpi_tables_path=f"{target}/kpis", document=False)
-    assert sorted(os.listdir(_local(target))) == ["clean", "kpi_rows", "kpis"]
+    assert sorted(os.listdir(_local(target))) == ["clean", "kpi_report", "kpis"]
     assert result.metrics["kpis"]["total_transactions"] == result.metrics["clean_rows"]
     assert result.metrics["time_extract_s"] > 0.02 and result.metrics["run_id"]
 
