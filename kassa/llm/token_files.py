@@ -20,6 +20,7 @@ are not written; an empty table writes no segment.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -38,7 +39,7 @@ from kassa.session import scratch_path
 MAGIC = b"EFTOKEN1"
 _HEAD = struct.Struct("<8sIIIQQqQQQQ")   # magic, width, partition, seq, docs, nulls, base, sizes
 END_ID = 2
-SEGMENT_IDS = 8 << 20
+SEGMENT_IDS = 2 << 20
 SAMPLE = 256                              # a select sample for every so many values
 
 
@@ -168,6 +169,7 @@ class UnitEncoder:
     END = "</w>"
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"    # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -181,7 +183,10 @@ class UnitEncoder:
         """Flat ids and lengths of letter-only words."""
         ids, lengths = [], []
         groups = [stems[i:i + group] for i in range(0, len(stems), group)]
-        for words, got in zip(groups, self._each([" ".join(g) for g in groups])):
+        # A few groups at a time: what the library returns is larger than the ids.
+        joined = (e for i in range(0, len(groups), 32)
+                  for e in self._each([" ".join(g) for g in groups[i:i + 32]]))
+        for words, got in zip(groups, joined):
             got = np.array(got, dtype=np.uint32)
             cuts = np.flatnonzero(self.ends[got]) + 1
             if len(cuts) != len(words):
@@ -195,6 +200,12 @@ class UnitEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths of every text (null: none)."""
+        ids, lengths = zip(*self.parts(texts), (np.empty(0, np.uint32), np.empty(0, np.int64)))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def parts(self, texts: pa.Array, units_at_once: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same, some texts after others: distinct units are encoded over
+        all texts, ids are laid out for some units at a time."""
         units = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         flat = units.flatten().dictionary_encode()
         code = flat.indices.to_numpy(zero_copy_only=False)
@@ -219,11 +230,15 @@ class UnitEncoder:
         second[is_simple] = n_stems + tails.indices.to_numpy(zero_copy_only=False)
         first[~is_simple] = n_stems + n_tails + np.arange(len(rest))
         starts, lengths = np.append(starts, 0), np.append(lengths, 0)   # -1: nothing
-        pair = np.stack([first[code], second[code]], axis=1).ravel()
-        ids = table[ragged(starts[pair], lengths[pair])]
-        unit_len = lengths[first[code]] + lengths[second[code]]
-        bounds = np.concatenate([[0], np.cumsum(unit_len)])[np.asarray(units.offsets)]
-        return ids, np.diff(bounds)
+        offsets, lo = np.asarray(units.offsets), 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + units_at_once, side="right")) - 1)
+            own = code[offsets[lo]:offsets[hi]]
+            pair = np.stack([first[own], second[own]], axis=1).ravel()
+            ids = table[ragged(starts[pair], lengths[pair])]
+            unit_len = lengths[first[own]] + lengths[second[own]]
+            yield ids, np.diff(np.concatenate([[0], np.cumsum(unit_len)])[offsets[lo:hi + 1] - offsets[lo]])
+            lo = hi
 
 
 def _encoder(path: str, made: dict = {}) -> UnitEncoder:
@@ -260,23 +275,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         for batch in batches:
             for part in _bounded(batch):
-                ids, n = _encoder(tokenizer).encode(part.column("t"))
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                own = part.column("d").to_pylist()
-                for i, d in enumerate(own):
-                    if size and size + n[i] + 1 > segment_ids:
-                        yield flush()
-                    names.append(d)
-                    lengths.append(int(n[i]) + 1)
-                    held.append(np.append(ids[bounds[i]:bounds[i + 1]], np.uint32(end_id)))
-                    size += int(n[i]) + 1
+                own = iter(part.column("d").to_pylist())
+                for ids, n in _encoder(tokenizer).parts(part.column("t")):
+                    bounds = np.concatenate([[0], np.cumsum(n)])
+                    for i in range(len(n)):
+                        if size and size + n[i] + 1 > segment_ids:
+                            yield flush()
+                        names.append(next(own))
+                        lengths.append(int(n[i]) + 1)
+                        held.append(np.append(ids[bounds[i]:bounds[i + 1]], np.uint32(end_id)))
+                        size += int(n[i]) + 1
         if names:
             yield flush()
 
     write_bytes(ordered.mapInArrow(segments, "blob binary"), path)
 
 
-def _bounded(batch: pa.RecordBatch, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def _bounded(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` text bytes (one text at least)."""
     size = np.cumsum(pc.binary_length(batch.column("t")).fill_null(0).to_numpy(zero_copy_only=False))
     lo, before = 0, 0
