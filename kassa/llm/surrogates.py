@@ -7,8 +7,9 @@ entity has the same surrogate in every document (coreference), in the format of
 the mention: digits fill the mention's own punctuation, letters keep their
 class and case, card numbers keep a valid check digit, IPv4 stays IPv4, names
 keep their script and the gender of the title. A surrogate that another entity
-already has, or that is itself an entity of the corpus, is drawn again until
-all are distinct.
+already has, or that is itself an entity of the corpus, is drawn again; names
+and the local parts of e-mails grow with the attempts, and what a full digit
+format leaves after the draws gets the free values by rank.
 
 Scale: texts without an entity pass straight through; the others join their
 replaced mentions by the mention list itself, so copies of a document share the
@@ -51,6 +52,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold to have any mention: cheap to look for.
 HINT = rf"[0-9@]|(?i:secret|token|password|passwd|api_?key)|(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}"
 _DIGIT_KINDS = ("card", "phone", "ssn")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va".split(),
@@ -183,7 +185,10 @@ def _candidate(key: str) -> Column:
     stem = F.regexp_replace(domain, r"\.[^.]*$", "")
     host = F.concat(_same_class(stem, _digest(key, F.lit("domain"), domain)),
                     F.regexp_extract(domain, r"\.[^.]*$", 0))
-    email = F.concat(_same_class(F.substring(canon, F.lit(1), at - 1), digest), F.lit("@"), host)
+    # A short local part has few values under a host: later attempts grow longer.
+    longer = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 4).cast("int")), lambda i: F.when(
+        i > 0, F.substring(F.lit(_LETTERS), _draw(digest, F.length(canon) + i, 26) + 1, F.lit(1))).otherwise("")), "")
+    email = F.concat(_same_class(F.substring(canon, F.lit(1), at - 1), digest), longer, F.lit("@"), host)
     octets = F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: (
         F.when(i == 0, 1 + _draw(digest, i, 223)).otherwise(_draw(digest, i, 254) + 1)).cast("string")), ".")
     iban = _iban_check(F.concat(F.substring(canon, 1, 2), _same_class(F.substring(canon, F.lit(3), F.length(canon)), digest)))
@@ -196,29 +201,72 @@ def _candidate(key: str) -> Column:
 
 def surrogates(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """kind, canon, surrogate for every distinct (kind, canon): distinct inside
-    a kind, and never an entity of that kind itself."""
+    a kind, and never an entity of that kind itself. An error says that a digit
+    format has fewer free values than entities."""
     known = stored(entities.select("kind", "canon").distinct(), "surrogates-entities")
     taken = known.select(F.col("kind").alias("k"), F.col("canon").alias("c"), F.lit(True).alias("real"))
     now = known.withColumn("attempt", F.lit(0))
     order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon")
     for _ in range(MOST_ROUNDS):
-        drawn = now.withColumn("surrogate", _candidate(key))
+        drawn = now.select("kind", "canon", "attempt").withColumn("surrogate", _candidate(key))
         judged = (drawn.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("c")), "left")
                   .withColumn("again", F.col("real").isNotNull() | (F.row_number().over(order) > 1)))
         now = stored(judged.select("kind", "canon", "surrogate", "again",
                                    (F.col("attempt") + F.col("again").cast("int")).alias("attempt")), "surrogates-drawn")
         if now.where("again").isEmpty():
             return now.select("kind", "canon", "surrogate")
-        now = now.select("kind", "canon", "attempt")
-    raise RuntimeError("the format of some entities has too few values for distinct surrogates")
+    return _filled(now.select("kind", "canon", "surrogate", "again"), known, key)
+
+
+def _filled(drawn: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``drawn`` with a free value of its format for every entity to draw
+    ``again``. Draws fail this often only if the entities of a format are about
+    as many as its values, so listing the values is no more work than those."""
+    luhn = (F.col("kind") == "card") & (_luhn_sum(F.col("canon")) % 10 == 0)
+    done = drawn.where("not again").select("kind", "canon", "surrogate")
+    left = drawn.where("again").select("kind", "canon", F.length("canon").alias("n"), luhn.alias("luhn"))
+    for kind, n, checked in left.select("kind", "n", "luhn").distinct().collect():    # formats, not entities
+        i = F.col("id").cast("string")
+        if kind in _DIGIT_KINDS:
+            room = 10 ** (n - checked)
+            value = _with_check_digit(F.concat(F.lpad(i, n - 1, "0"), F.lit("0"))) if checked else F.lpad(i, n, "0")
+        else:
+            raise RuntimeError(f"the {kind} entities of {n} characters have too few values for distinct surrogates")
+        used = known.where(F.col("kind") == kind).select(F.col("canon").alias("v")).union(
+            done.where(F.col("kind") == kind).select(F.col("surrogate").alias("v")))
+        free = drawn.sparkSession.range(room).select(value.alias("v")).join(used, "v", "left_anti")
+        mine = left.where((F.col("kind") == kind) & (F.col("n") == n) & (F.col("luhn") == checked)).select(F.col("canon").alias("v"))
+        (mine, wanted), (free, there) = _ranked(mine, key), _ranked(free, key)
+        if wanted > there:
+            raise RuntimeError(f"{wanted} {kind} entities of {n} characters, but {there} free values for distinct surrogates")
+        pairs = mine.withColumnRenamed("v", "canon").join(free.withColumnRenamed("v", "surrogate"), "rank")
+        done = stored(done.union(pairs.select(F.lit(kind).alias("kind"), "canon", "surrogate")), "surrogates-filled")
+    return done
+
+
+def _ranked(values: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """``v, rank`` in a keyed order, ranked bucket by bucket, and the number of rows."""
+    values = stored(values.select("v", F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("rank"), "v").cast("binary"), 256).alias("h"))
+                    .withColumn("b", F.substring("h", 1, 2)), "surrogates-ranked")
+    counts = dict(values.groupBy("b").count().collect())            # 256 buckets at most
+    below, start = 0, []
+    for b in sorted(counts):
+        start += [(b, below)]
+        below += counts[b]
+    if not start:
+        return values.select("v", F.lit(0).cast("long").alias("rank")), 0
+    starts = F.create_map(*[F.lit(x) for pair in start for x in pair])
+    order = F.row_number().over(Window.partitionBy("b").orderBy("h", "v"))
+    return values.select("v", (F.element_at(starts, F.col("b")) + order.cast("long")).alias("rank")), below
 
 
 def _written(piece: Column, kind: Column, surrogate: Column) -> Column:
     """A surrogate in the format of the piece it stands for."""
     gaps = F.split(piece, "[0-9]")
     filled = F.array_join(F.zip_with(gaps, F.split(surrogate, ""), lambda g, d: F.concat(F.coalesce(g, F.lit("")), F.coalesce(d, F.lit("")))), "")
-    cased = F.array_join(F.zip_with(F.split(piece, ""), F.split(surrogate, ""), lambda p, s: F.when(
+    case = lambda old, new: F.array_join(F.zip_with(F.split(old, ""), F.split(new, ""), lambda p, s: F.when(
         p.rlike("[A-Z]"), F.upper(s)).otherwise(s)), "")
+    cased = F.concat_ws("@", *[case(F.substring_index(piece, "@", n), F.substring_index(surrogate, "@", n)) for n in (1, -1)])
     spaced = F.when(F.instr(piece, " ") > 0, F.rtrim(F.regexp_replace(surrogate, "(.{4})", "$1 "))).otherwise(surrogate)
     title = F.when((F.upper(piece) == piece) & (F.length(piece) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return (F.when(kind == "literal", piece).when(kind.isin(*_DIGIT_KINDS), filled)
