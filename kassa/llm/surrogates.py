@@ -6,7 +6,8 @@ value) gets one surrogate, derived from a secret key with SHA-256, so the same
 entity has the same surrogate in every document (coreference), in the format of
 the mention: digits fill the mention's own punctuation, letters keep their
 class and case, card numbers keep a valid check digit, IPv4 stays IPv4, names
-keep their script and the gender of the title. A surrogate that another entity
+keep their script and the gender of the title. A name found after a title is
+replaced wherever the document has it again without one. A surrogate that another entity
 already has, or that is itself an entity of the corpus, is drawn again; names
 and the local parts of e-mails grow with the attempts, and what a full digit
 format leaves after the draws gets the free values by rank.
@@ -14,7 +15,8 @@ format leaves after the draws gets the free values by rank.
 Scale: texts without an entity pass straight through; the others join their
 replaced mentions by the mention list itself, so copies of a document share the
 work and rows without or with equal ids are no special case. The entity table
-has one row per distinct entity; nothing is collected.
+has one row per distinct entity; of it, only full formats and the row counts of
+256 buckets are ever collected.
 
 Edge cases: a null text stays null, an empty one empty; a mention that repeats
 is replaced every time; other columns pass through untouched; columns that
@@ -31,22 +33,49 @@ from kassa.llm.components import stored
 DEFAULT_KEY = "change-this-key"
 MOST_ROUNDS = 40
 
-MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин", "κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "госпожа", "κυρία")
-
-_NAME_TOKEN = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?"
-_TITLES = "|".join(MALE + FEMALE)
+MALE = ("Mr", "Sir", "Herr", "Monsieur", "monsieur", "Señor", "señor", "Sr", "Don", "don", "господин", "κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "madame", "Mademoiselle", "Mme", "Mlle", "Señora", "señora",
+          "Señorita", "señorita", "Sra", "Srta", "Doña", "doña", "Dra", "Profesora", "госпожа", "κυρία")
+NEUTRAL = ("Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "Profesor", "Mx", "доктор", "профессор")
+
+_TITLES = "|".join(MALE + FEMALE + NEUTRAL)
+#: A name; no title, and without a genitive ('s).
+_WORD = r"\p{Lu}(?:(?:['’](?![sS](?!\p{L})))?\p{L})+"
+_NAME_TOKEN = rf"(?!(?:{_TITLES})(?!\p{{L}})){_WORD}(?:-{_WORD})?"
+_TITLE = rf"(?:(?:{_TITLES})\.? )+"
+_MAIL = r"\p{L}\p{M}\p{N}"
+
+#: A digit of a phone number with what may part it from the one before: groups
+#: have two digits or more, but for the first after a country code.
+_DIGIT = r"(?: ?\((?=[0-9]{2})|\)[ ./-]?(?=[0-9]{2})|[ ./-](?=[0-9]{2}))?[0-9]"
+_FIRST = r"(?: ?\(0\) ?)?(?: ?\(|[ ./-])?[0-9]"
+_NO_DIGIT_BEFORE = r"(?<![0-9])"
+_ALONE = r"(?<![0-9A-Za-z])(?<![0-9][.,/-])"
+_PHONES = (
+    # After a country code: North America, France, Spain, Britain, Germany, others.
+    rf"(?:{_NO_DIGIT_BEFORE}\+|{_ALONE}00 ?)(?:1{_FIRST}(?:{_DIGIT}){{9}}|3[34]{_FIRST}(?:{_DIGIT}){{8}}"
+    rf"|44{_FIRST}(?:{_DIGIT}){{8,9}}|49{_FIRST}(?:{_DIGIT}){{5,10}})(?![0-9])",
+    rf"{_NO_DIGIT_BEFORE}\+[2-9]{_FIRST}(?:{_DIGIT}){{6,12}}(?![0-9])",
+    # French pairs, and ten or eleven digits with the trunk zero in one.
+    rf"{_ALONE}0[1-9](?:(?: [0-9]{{2}}){{4}}|(?:\.[0-9]{{2}}){{4}}|(?:-[0-9]{{2}}){{4}}|[0-9]{{8,9}})(?![0-9])",
+    # Spanish mobile and landline groups.
+    rf"{_ALONE}[6-9][0-9]{{2}}(?:(?: [0-9]{{2}}){{3}}|(?:\.[0-9]{{2}}){{3}}|(?:-[0-9]{{2}}){{3}})(?![0-9])",
+    rf"{_ALONE}[89][0-9] [0-9]{{3}} [0-9]{{2}} [0-9]{{2}}(?![0-9])",
+    # A German or British area code with the trunk zero, then six to eight digits.
+    rf"{_ALONE}(?:\(0[1-9][0-9]{{1,4}}\) ?|0[1-9][0-9]{{1,4}}(?: ?[/-] ?|[ .]))[0-9](?:(?:[ .-](?=[0-9]{{2}}))?[0-9]){{5,7}}(?![0-9])",
+)
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": rf"(?<![{_MAIL}._%+-])[{_MAIL}._%+-]{{1,64}}+@[{_MAIL}](?:[{_MAIL}-]{{0,62}}\.)+\p{{L}}[\p{{L}}\p{{M}}]{{1,23}}(?![{_MAIL}])",
     "secret": (r"(?<=\b(?i:token|secret|password|passwd|api_key|apikey)['\"]?\s{0,2}[:=]\s{0,2}['\"]?)[A-Za-z0-9_+/-]{16,200}"
                r"|(?<=\b(?:AKIA|ASIA))[0-9A-Z]{16}\b|(?<=\bgh[pousr]_)[A-Za-z0-9]{36}\b|(?<=\bsk-)[A-Za-z0-9]{20,64}\b"),
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": (r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"),
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "phone": (r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
-              r"|(?<![0-9])\+[0-9]{8,15}(?![0-9])"),
+    "phone": (r"(?=[+(0-9])(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))(?:" + "|".join(_PHONES) + "|"
+              r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
+              r"|(?<![0-9])\+[0-9]{8,15}(?![0-9]))"),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME_TOKEN}(?: {_NAME_TOKEN})?",
+    "name": rf"(?<!\p{{L}}){_TITLE}{_NAME_TOKEN}(?: {_NAME_TOKEN})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold to have any mention: cheap to look for.
@@ -63,6 +92,8 @@ ENDINGS = {
     ("given_m", "latin"): "rick bert win mund".split(), ("given_f", "latin"): "lina ria nette della".split(),
     ("given_m", "cyrillic"): "слав мир дан рий".split(), ("given_f", "cyrillic"): "лина рия слава дана".split(),
     ("given_m", "greek"): "νος ρης δης μος".split(), ("given_f", "greek"): "νια ρια λια να".split(),
+    ("given_n", "latin"): "rin lex kim ari".split(), ("given_n", "cyrillic"): "ша ня жа ля".split(),
+    ("given_n", "greek"): "ιν αξ ις υς".split(),
     ("surname", "latin"): "son ler man ton".split(), ("surname", "cyrillic"): "нко дзе рук нич".split(),
     ("surname", "greek"): "δου κου λου που".split(),
 }
@@ -99,10 +130,11 @@ def _parts(mention: Column) -> Column:
     """A mention as parts (kind, piece, canon); literal parts stay."""
     kind = _kind(mention)
     literal = lambda c: _part(F.lit("literal"), c, F.lit(""))
-    title = F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0)
+    title = F.regexp_extract(mention, f"^{_TITLE}", 0)
     names = F.split(F.substring(mention, F.length(title) + 1, F.length(mention)), " ")
     last, first = F.element_at(names, -1), F.element_at(names, 1)
-    sex = F.when(title.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), F.lit("given_f")).otherwise(F.lit("given_m"))
+    among = lambda titles: title.rlike(rf"(?<!\p{{L}})(?:{'|'.join(titles)})(?!\p{{L}})")
+    sex = (F.when(among(FEMALE), F.lit("given_f")).when(among(MALE), F.lit("given_m")).otherwise(F.lit("given_n")))
     surname = _part(F.concat_ws(":", F.lit("surname"), _script(last)), last, F.lower(last))
     given = _part(F.concat_ws(":", sex, _script(first)), first, F.lower(first))
     named = F.when(F.size(names) > 1, F.array(literal(title), given, literal(F.lit(" ")), surname)) \
@@ -136,6 +168,9 @@ def _same_class(value: Column, digest: Column, hexadecimal: Column | None = None
         return (F.when(c.rlike("[0-9]"), pick("0123456789", i))
                 .when(c.rlike("[a-z]"), F.when(hex_letters, pick("abcdef", i)).otherwise(pick("abcdefghijklmnopqrstuvwxyz", i)))
                 .when(c.rlike("[A-Z]"), F.when(hex_letters, pick("ABCDEF", i)).otherwise(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)))
+                .when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя", i))
+                .when(c.rlike(r"\p{IsGreek}"), pick("αβγδεζηθικλμνξοπρστυφχψω", i))
+                .when(c.rlike(r"\p{L}"), pick(_LETTERS, i)).when(c.rlike(r"\p{N}"), pick("0123456789", i))
                 .otherwise(c))
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -260,15 +295,41 @@ def _ranked(values: DataFrame, key: str) -> tuple[DataFrame, int]:
     return values.select("v", (F.element_at(starts, F.col("b")) + order.cast("long")).alias("rank")), below
 
 
+def _titled(piece: Column, surrogate: Column) -> Column:
+    return F.when((F.upper(piece) == piece) & (F.length(piece) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+
+
+def _names(found: Column) -> Column:
+    """name -> surrogate from structs (canon, kind, surrogate); a name that is a
+    surname and a given name is the surname."""
+    by_name = F.sort_array(found, asc=False)
+    first = F.filter(by_name, lambda x, i: ~F.get(by_name, i - 1)["canon"].eqNullSafe(x["canon"]))
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["canon"], x["surrogate"])))
+
+
+def _untitled(text: Column, names: Column) -> tuple[Column, Column]:
+    """A text with every name of ``names`` replaced, and how many there were."""
+    pattern = rf"(?<!\p{{L}}){_NAME_TOKEN}"
+    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    one = lambda w: F.element_at(names, F.lower(w))
+    new = lambda w: F.coalesce(_titled(w, one(w)), F.array_join(F.transform(
+        F.split(w, "-"), lambda p: F.coalesce(_titled(p, one(p)), p)), "-"))
+    some = lambda w: one(w).isNotNull() | F.exists(F.split(w, "-"), lambda p: one(p).isNotNull())
+    out = F.array_join(F.zip_with(F.split(text, pattern, -1), F.transform(words, new),
+                                  lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    any_ = F.size(names) > 0
+    return F.when(any_, out).otherwise(text), F.when(any_, F.size(F.filter(words, some))).otherwise(0)
+
+
 def _written(piece: Column, kind: Column, surrogate: Column) -> Column:
     """A surrogate in the format of the piece it stands for."""
     gaps = F.split(piece, "[0-9]")
     filled = F.array_join(F.zip_with(gaps, F.split(surrogate, ""), lambda g, d: F.concat(F.coalesce(g, F.lit("")), F.coalesce(d, F.lit("")))), "")
     case = lambda old, new: F.array_join(F.zip_with(F.split(old, ""), F.split(new, ""), lambda p, s: F.when(
-        p.rlike("[A-Z]"), F.upper(s)).otherwise(s)), "")
+        p.rlike(r"\p{Lu}"), F.upper(s)).otherwise(s)), "")
     cased = F.concat_ws("@", *[case(F.substring_index(piece, "@", n), F.substring_index(surrogate, "@", n)) for n in (1, -1)])
     spaced = F.when(F.instr(piece, " ") > 0, F.rtrim(F.regexp_replace(surrogate, "(.{4})", "$1 "))).otherwise(surrogate)
-    title = F.when((F.upper(piece) == piece) & (F.length(piece) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    title = _titled(piece, surrogate)
     return (F.when(kind == "literal", piece).when(kind.isin(*_DIGIT_KINDS), filled)
             .when(kind == "email", cased).when(kind == "iban", spaced)
             .when(kind.isin("ipv4", "secret"), surrogate).otherwise(title))
@@ -292,18 +353,25 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, cou
     table = surrogates(mentions.where("kind <> 'literal'"), key)
     table = table.select(F.col("kind").alias("k"), F.col("canon").alias("c"), "surrogate")
     written = (mentions.join(table, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c")), "left")
-               .select("_found", "_at", "_part", _written(F.col("piece"), F.col("kind"), F.col("surrogate")).alias("w")))
-    replaced = written.groupBy("_found").agg(F.sort_array(F.collect_list(F.struct("_at", "_part", "w"))).alias("all"))
+               .select("_found", "_at", "_part", _written(F.col("piece"), F.col("kind"), F.col("surrogate")).alias("w"),
+                       F.when(F.col("kind").rlike("^(given|surname)"), F.struct("canon", "kind", "surrogate")).alias("name")))
+    replaced = written.groupBy("_found").agg(F.sort_array(F.collect_list(F.struct("_at", "_part", "w"))).alias("all"),
+                                             _names(F.collect_set("name")).alias("_names"))
     joined = F.transform(F.sequence(F.lit(0), F.size("_found") - 1), lambda i: F.array_join(F.transform(
         F.filter("all", lambda x: x["_at"] == i), lambda x: x["w"]), ""))
-    replaced = replaced.select(F.col("_found").alias("_f"), joined.alias("_new"))
+    replaced = replaced.select(F.col("_found").alias("_f"), joined.alias("_new"), "_names")
     pieces = F.split(t, ANY, -1)
-    text_out = F.array_join(F.zip_with(pieces, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = hits.join(replaced, F.col("_found") == F.col("_f")).withColumn(names[text], text_out)
-    out = [F.col(n).alias(c) for c, n in names.items() if c != counts]
-    if counts:
-        out.append(F.size("_found").cast("bigint").alias(counts))
-    return found.where(F.size("_found") == 0).select(*out).unionAll(changed.select(*out))
+    known = F.col("_names")
+    text_out = F.array_join(F.zip_with(pieces, "_new", lambda a, b: F.concat(_untitled(a, known)[0], F.coalesce(b, F.lit("")))), "")
+    again = F.aggregate(pieces, F.lit(0), lambda n, a: n + _untitled(a, known)[1])
+    changed = (hits.join(replaced, F.col("_found") == F.col("_f"))
+               .select("*", text_out.alias("_text"), (F.size("_found") + again).alias("_count")))
+    def out(new: Column, count: Column) -> list[Column]:
+        columns = [(new if c == text else F.col(n)).alias(c) for c, n in names.items() if c != counts]
+        return columns + ([count.cast("bigint").alias(counts)] if counts else [])
+
+    same = found.where(F.size("_found") == 0).select(*out(t, F.lit(0)))
+    return same.unionAll(changed.select(*out(F.col("_text"), F.col("_count"))))
 
 
 def op8_pii_surrogates(spark, sf_dir: str) -> DataFrame:
