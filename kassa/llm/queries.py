@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kassa.llm.codebooks import op11_vector_codes
 from kassa.llm.decontaminate import op3_decontaminate
 from kassa.llm.jaccard import op7_jaccard_join
 from kassa.llm.langid import op9_language_id
@@ -13,6 +14,7 @@ from kassa.llm.licenses import op4_license_scan
 from kassa.llm.pieces import op2_sentencepiece
 from kassa.llm.quality import op10_quality_rules
 from kassa.llm.repeats import op6_substring_dedup
+from kassa.llm.sql import OP11_SQL
 from kassa.llm.surrogates import op8_pii_surrogates
 from kassa.llm.token_files import op5_token_files
 from kassa.llm.warc import op1_warc
@@ -28,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op7_jaccard_join": OP7_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
