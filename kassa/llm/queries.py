@@ -14,9 +14,11 @@ from kassa.llm.licenses import op4_license_scan
 from kassa.llm.pieces import op2_sentencepiece
 from kassa.llm.quality import op10_quality_rules
 from kassa.llm.repeats import op6_substring_dedup
-from kassa.llm.sql import OP11_SQL
+from kassa.llm.shards import op12_sharding
+from kassa.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
 from kassa.llm.surrogates import op8_pii_surrogates
 from kassa.llm.token_files import op5_token_files
+from kassa.llm.trie import op13_prefix_trie
 from kassa.llm.warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op11_vector_codes": op11_vector_codes,
+    "op12_sharding": op12_sharding,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -109,4 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op7_jaccard_join": OP7_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_sharding": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

@@ -53,3 +53,52 @@ FROM coded JOIN kept USING (vec_id), books
 
 
 OP11_SQL = _op11()
+
+
+def _draw(shard: str) -> str:
+    return (f"((('0x' || substr(md5(coalesce('=' || doc_id::VARCHAR, 'null') || '@' || {shard}), 1, 13))::BIGINT + 0.5::DOUBLE)"
+            " / 4503599627370496::DOUBLE)")
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+        {_crc32("encode(coalesce(text, ''))")} AS text_crc32 FROM documents, crc),
+cost AS (SELECT r, s, -ln({_draw("s")}) AS c FROM d, range(9) g(s)),
+best AS (SELECT r, arg_min(s, c) FILTER (s < 8) AS shard, arg_min(s, c) AS grown_shard FROM cost GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce('=' || doc_id::VARCHAR, 'null') || '#'),
+                     doc_id, size, text_crc32) - 1 AS slot
+FROM d JOIN best USING (r)
+"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+t AS (SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes,
+        substr(sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS dg
+      FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) AS pos FROM t),
+c AS (SELECT conv_id, {_crc32("encode(conv_id::VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+lent AS (SELECT c.conv_id, o.pos, o.bytes, o.dg FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 5 AND o.pos <= c.h),
+n_lent AS (SELECT conv_id, count(*) AS k FROM lent GROUP BY conv_id),
+r AS (SELECT * FROM lent
+      UNION ALL
+      SELECT conv_id, pos - h + coalesce(k, 0), bytes, dg FROM o JOIN c USING (conv_id) LEFT JOIN n_lent USING (conv_id)
+      WHERE pos > h),
+p AS MATERIALIZED (
+  SELECT conv_id, pos, bytes, string_agg(dg, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+ends AS (SELECT arg_max(path, pos) AS path, conv_id FROM p GROUP BY conv_id),
+sha AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS s FROM ends GROUP BY path),
+node AS MATERIALIZED (
+  SELECT path, pos AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(bytes) AS bytes FROM p GROUP BY ALL),
+kids AS (SELECT left(path, (depth::INT - 1) * 32) AS path, count(*) AS k FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kids USING (path)),
+tree AS (SELECT a.path, count(*) FILTER (x.k = 0) AS leaves, sum((x.n - 1) * x.bytes) AS saved
+         FROM full_node x JOIN p a ON a.conv_id = x.conv_id AND a.pos <= x.depth GROUP BY a.path)
+SELECT x.conv_id, x.depth, up.conv_id AS parent_conv_id, x.n AS n_convs, x.k AS n_children, tree.leaves AS n_leaves,
+  tree.saved::BIGINT AS saved_tokens, coalesce(sha.s, sha256('')) AS ends_sha256
+FROM full_node x JOIN tree USING (path) LEFT JOIN sha USING (path)
+LEFT JOIN node up ON x.depth > 0 AND up.path = left(x.path, (x.depth::INT - 1) * 32)
+"""
