@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kassa.llm.words import _P, _PI, _ranges_hash, ragged, tidy
+from kassa.llm.words import byte_hashes, ragged, tidy
 
 MARK = "▁"
 LONG = 200                      # characters of a chunk that relaxes through a heap
@@ -276,8 +276,7 @@ class Encoder:
         start[-1] = False
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(buf))
-        _, first, code = np.unique(_ranges_hash(buf.astype(np.uint64) + np.uint64(1), begin, end, _P, _PI),
-                                   return_index=True, return_inverse=True)
+        _, first, code = np.unique(byte_hashes(buf, begin, end), return_index=True, return_inverse=True)
         # The distinct chunks with a byte between them, as code points plus one
         # (so that 0 is no character).
         size_of = end[first] - begin[first] + 1

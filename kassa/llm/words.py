@@ -2,8 +2,12 @@
 
 A batch of texts is one contiguous UTF-8 buffer plus offsets. Words are runs of
 "word bytes"; every delimiter of the operators here is ASCII, so byte classes
-give exactly the words a code-point pattern gives. Word and window hashes are
-64-bit polynomial prefix sums with a splitmix64 finaliser.
+give exactly the words a code-point pattern gives.
+
+Hashes have no structure that a text could be written against: a word's hash
+adds a pseudo-random number for each byte at its place, a window's hash mixes
+the hashes of its two halves, and each is finished with its length. (A polynomial
+modulo 2^64 has known pairs of equal value, whatever its base.)
 """
 
 from __future__ import annotations
@@ -16,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 3          # = 3 (mod 4): P - 1 holds a single factor 2
-_Q = 0xC2B2AE3D27D4EB4F
-_PI = pow(_P, -1, 1 << 64)
-_QI = pow(_Q, -1, 1 << 64)
+_LENGTH = _U(0xD6E8FEB86659FD93)
+_LEFT = _U(0x9E3779B97F4A7C15)
+_RIGHT = _U(0xC2B2AE3D27D4EB4F)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -38,22 +41,6 @@ SPACE_WORDS = byte_class([0x20, *range(0x09, 0x0E)])
 ALNUM_WORDS = byte_class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64 (grown on demand, kept per worker)."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 12)
-        have = np.full(size, _U(base), dtype=_U)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 21:
-            _POWERS[base] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""
     x = x ^ (x >> _U(30))
@@ -64,14 +51,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray,
-                 base: int, inverse: int) -> np.ndarray:
-    """Hash of values[start:end] for every range, by prefix sums modulo 2**64."""
-    n = len(values)
+def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of buf[start:end] for ranges in order that do not overlap."""
+    n = len(buf)
+    if not len(starts):
+        return np.empty(0, dtype=_U)
+    place = np.arange(n, dtype=_U)
+    place[starts[0]:] -= np.repeat(starts.astype(_U), np.diff(np.append(starts, n)))
+    place <<= _U(8)
+    place |= buf
     sums = np.zeros(n + 1, dtype=_U)
-    np.cumsum(values * _powers(base, n), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _powers(inverse, n + 1)[starts]
-    return mix(raw + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    np.cumsum(mix(place + _LEFT), out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(_U) * _LENGTH)
 
 
 class Words:
@@ -104,7 +95,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every word."""
-        return _ranges_hash(self.buf.astype(_U) + _U(1), self.starts, self.ends, _P, _PI)
+        return byte_hashes(self.buf, self.starts, self.ends)
 
     def word(self, i: int) -> bytes:
         return self.buf[self.starts[i]:self.ends[i]].tobytes()
@@ -120,7 +111,28 @@ class Words:
 
 def window_hashes(word_hash: np.ndarray, starts: np.ndarray, length) -> np.ndarray:
     """Hash of ``word_hash[s:s + length]`` for every start (length: scalar or array)."""
-    return _ranges_hash(word_hash, starts, starts + length, _Q, _QI)
+    if not np.ndim(length):
+        return _windows(word_hash, starts, int(length))
+    out = np.empty(len(starts), dtype=_U)
+    for n in np.unique(length):
+        rows = length == n
+        out[rows] = _windows(word_hash, starts[rows], int(n))
+    return out
+
+
+def _windows(word_hash: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Halves are doubled up to the length; the last two may overlap."""
+    if not len(starts):
+        return np.empty(0, dtype=_U)
+    if not length:
+        return mix(np.zeros(len(starts), dtype=_U))
+    first = int(starts.min())
+    now, size = word_hash[first:int(starts.max()) + length], 1
+    while size < length:
+        step = min(size, length - size)
+        now = mix(now[:-step] * _LEFT + mix(now[step:] + _RIGHT))
+        size += step
+    return mix(now[starts - first] + _U(length * int(_LENGTH) % (1 << 64)))
 
 
 def text_slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
