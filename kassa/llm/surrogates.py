@@ -8,13 +8,14 @@ the mention: digits fill the mention's own punctuation, letters keep their
 class and case, card numbers keep a valid check digit, IPv4 stays IPv4, names
 keep their script and the gender of the title. A name found after a title is
 replaced wherever the document has it again without one. A surrogate that another entity
-already has, or that is itself an entity of the corpus, is drawn again; names
+already has, or that is itself an entity of the corpus, is drawn again (only that one); names
 and the local parts of e-mails grow with the attempts, and what a full digit
 format leaves after the draws gets the free values by rank.
 
 Scale: texts without an entity pass straight through; the others join their
-replaced mentions by the mention list itself, so copies of a document share the
-work and rows without or with equal ids are no special case. The entity table
+replaced mentions by a digest of the mention list, so copies of a document share
+the work, rows without or with equal ids are no special case, and a text of many
+mentions is as many narrow rows. The entity table
 has one row per distinct entity; of it, only full formats and the row counts of
 256 buckets are ever collected.
 
@@ -66,8 +67,11 @@ _PHONES = (
 )
 PATTERNS = {
     "email": rf"(?<![{_MAIL}._%+-])[{_MAIL}._%+-]{{1,64}}+@[{_MAIL}](?:[{_MAIL}-]{{0,62}}\.)+\p{{L}}[\p{{L}}\p{{M}}]{{1,23}}(?![{_MAIL}])",
-    "secret": (r"(?<=\b(?i:token|secret|password|passwd|api_key|apikey)['\"]?\s{0,2}[:=]\s{0,2}['\"]?)[A-Za-z0-9_+/-]{16,200}"
-               r"|(?<=\b(?:AKIA|ASIA))[0-9A-Z]{16}\b|(?<=\bgh[pousr]_)[A-Za-z0-9]{36}\b|(?<=\bsk-)[A-Za-z0-9]{20,64}\b"),
+    # A secret ends where its characters end, however long it is: a part of one is a leak.
+    "secret": (r"(?<=\b(?i:token|secret|password|passwd|api_key|apikey)['\"]?\s{0,2}[:=]\s{0,2}['\"]?)"
+               r"[A-Za-z0-9_+/-]{16,}+(?:\.[A-Za-z0-9_+/-]++)*+={0,2}+"
+               r"|(?<=\b(?:AKIA|ASIA))[0-9A-Z]{16,}+|(?<=\bgh[pousr]_)[A-Za-z0-9]{36,}+|(?<=\bsk-)[A-Za-z0-9_-]{20,}+"
+               r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{13,}+(?:\.[A-Za-z0-9_-]++)++"),
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": (r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"),
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
@@ -147,16 +151,16 @@ def _parts(mention: Column) -> Column:
 
 # --- surrogates -----------------------------------------------------------------
 
-def _digest(key: str, *values: Column) -> Column:
-    """Keyed hex digest, two digits a character of the canonical value and more."""
-    seed = F.concat_ws("\x1f", F.lit(key), *values)
-    blocks = F.sequence(F.lit(0), F.floor(F.length("canon") / 16).cast("int") + 1)
-    return F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", seed, b.cast("string")).cast("binary"), 256)), "")
+def _seed(key: str, *values: Column) -> Column:
+    """A keyed seed: what all draws of one value start from."""
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), *values).cast("binary"), 256)
 
 
-def _draw(digest: Column, i: Column, n: int) -> Column:
-    """The i-th keyed number below n (four hex digits each)."""
-    return F.conv(F.substring(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % n
+def _draw(seed: Column, i: Column, n: int) -> Column:
+    """The i-th number below n of a seed: four hex digits of its block of 16
+    (so a draw costs one hash, however long the value is)."""
+    block = F.sha2(F.concat_ws("\x1f", seed, F.floor(i / 16).cast("string")).cast("binary"), 256)
+    return F.conv(F.substring(block, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int") % n
 
 
 def _same_class(value: Column, digest: Column, hexadecimal: Column | None = None) -> Column:
@@ -210,15 +214,22 @@ def _name(kind: Column, digest: Column, attempt: Column) -> Column:
     return out
 
 
-def _candidate(key: str) -> Column:
+def _drawn(entities: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``entities`` (kind, canon, attempt) with a candidate ``surrogate``."""
+    domain = F.substring("canon", F.instr("canon", "@") + 1, F.length("canon"))
+    seeded = entities.withColumns({"_seed": _seed(key, F.col("kind"), F.col("canon"), F.col("attempt").cast("string")),
+                                   "_host": _seed(key, F.lit("domain"), domain)})
+    return seeded.select(*columns, _candidate().alias("surrogate"))
+
+
+def _candidate() -> Column:
     """The surrogate of (kind, canon) at an attempt."""
-    kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
-    digest = _digest(key, kind, canon, attempt.cast("string"))
+    kind, canon, attempt, digest = F.col("kind"), F.col("canon"), F.col("attempt"), F.col("_seed")
     digits = _same_class(canon, digest)
     at = F.instr(canon, "@")
     domain = F.substring(canon, at + 1, F.length(canon))
     stem = F.regexp_replace(domain, r"\.[^.]*$", "")
-    host = F.concat(_same_class(stem, _digest(key, F.lit("domain"), domain)),
+    host = F.concat(_same_class(stem, F.col("_host")),
                     F.regexp_extract(domain, r"\.[^.]*$", 0))
     # A short local part has few values under a host: later attempts grow longer.
     longer = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 4).cast("int")), lambda i: F.when(
@@ -239,18 +250,24 @@ def surrogates(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     a kind, and never an entity of that kind itself. An error says that a digit
     format has fewer free values than entities."""
     known = stored(entities.select("kind", "canon").distinct(), "surrogates-entities")
-    taken = known.select(F.col("kind").alias("k"), F.col("canon").alias("c"), F.lit(True).alias("real"))
-    now = known.withColumn("attempt", F.lit(0))
-    order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon")
-    for _ in range(MOST_ROUNDS):
-        drawn = now.select("kind", "canon", "attempt").withColumn("surrogate", _candidate(key))
-        judged = (drawn.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("c")), "left")
-                  .withColumn("again", F.col("real").isNotNull() | (F.row_number().over(order) > 1)))
-        now = stored(judged.select("kind", "canon", "surrogate", "again",
-                                   (F.col("attempt") + F.col("again").cast("int")).alias("attempt")), "surrogates-drawn")
-        if now.where("again").isEmpty():
-            return now.select("kind", "canon", "surrogate")
-    return _filled(now.select("kind", "canon", "surrogate", "again"), known, key)
+    given = known.select("kind", F.col("canon").alias("surrogate"))     # values that are taken
+    now, done = known.withColumn("attempt", F.lit(0)), None
+    order = Window.partitionBy("kind", "surrogate").orderBy("canon")
+    for attempt in range(MOST_ROUNDS):
+        # Only what collided is drawn again: with an entity, a surrogate given before, or another draw.
+        drawn = _drawn(now, key, "kind", "canon").withColumn("_place", F.row_number().over(order))
+        taken = given.withColumnRenamed("kind", "k").withColumnRenamed("surrogate", "s").distinct().withColumn("real", F.lit(True))
+        judged = (drawn.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("s")), "left")
+                  .select("kind", "canon", "surrogate", (F.col("real").isNotNull() | (F.col("_place") > 1)).alias("again")))
+        judged = stored(judged, "surrogates-drawn")
+        fresh = judged.where("not again").select("kind", "canon", "surrogate")
+        done = fresh if done is None else done.union(fresh)
+        now = judged.where("again").select("kind", "canon", F.lit(attempt + 1).alias("attempt"))
+        if now.isEmpty():
+            return done
+        given = given.union(fresh.select("kind", "surrogate"))
+    return _filled(done.withColumn("again", F.lit(False)).union(
+        now.select("kind", "canon", F.lit(None).cast("string"), F.lit(True))), known, key)
 
 
 def _filled(drawn: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -300,25 +317,36 @@ def _titled(piece: Column, surrogate: Column) -> Column:
 
 
 def _names(found: Column) -> Column:
-    """name -> surrogate from structs (canon, kind, surrogate); a name that is a
-    surname and a given name is the surname."""
+    """Maps name -> surrogate from structs (canon, kind, surrogate), dealt by a
+    hash of the name: a lookup in a map of Spark reads it through, so about the
+    square root of the names is in each. A name that is a surname and a given
+    name is the surname."""
     by_name = F.sort_array(found, asc=False)
     first = F.filter(by_name, lambda x, i: ~F.get(by_name, i - 1)["canon"].eqNullSafe(x["canon"]))
-    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["canon"], x["surrogate"])))
+    return F.transform(first, lambda x: F.struct(x["canon"].alias("name"), x["surrogate"].alias("new")))
+
 
+def _dealt(names: Column) -> Column:
+    parts = F.ceil(F.sqrt(F.size(names))).cast("int")
+    one = lambda b: F.map_from_entries(F.filter(names, lambda x: F.pmod(F.hash(x["name"]), parts) == b))
+    return F.when(F.size(names) > 0, F.transform(F.sequence(F.lit(0), parts - 1), one)).otherwise(
+        F.array().cast("array<map<string,string>>"))
 
-def _untitled(text: Column, names: Column) -> tuple[Column, Column]:
-    """A text with every name of ``names`` replaced, and how many there were."""
+
+def _untitled(text: Column, names: Column) -> Column:
+    """A text with every name of ``names`` (dealt maps) replaced, and how many
+    there were: a struct (text, n)."""
     pattern = rf"(?<!\p{{L}}){_NAME_TOKEN}"
     words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    one = lambda w: F.element_at(names, F.lower(w))
+    one = lambda w: F.element_at(F.get(names, F.pmod(F.hash(F.lower(w)), F.size(names))), F.lower(w))
     new = lambda w: F.coalesce(_titled(w, one(w)), F.array_join(F.transform(
         F.split(w, "-"), lambda p: F.coalesce(_titled(p, one(p)), p)), "-"))
     some = lambda w: one(w).isNotNull() | F.exists(F.split(w, "-"), lambda p: one(p).isNotNull())
     out = F.array_join(F.zip_with(F.split(text, pattern, -1), F.transform(words, new),
                                   lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     any_ = F.size(names) > 0
-    return F.when(any_, out).otherwise(text), F.when(any_, F.size(F.filter(words, some))).otherwise(0)
+    return F.struct(F.when(any_, out).otherwise(text).alias("text"),
+                    F.when(any_, F.size(F.filter(words, some))).otherwise(0).alias("n"))
 
 
 def _written(piece: Column, kind: Column, surrogate: Column) -> Column:
@@ -344,28 +372,35 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, cou
     # The one-row generator keeps the filters below from repeating the search.
     found = work.select("*", F.inline(F.array(F.struct(
         F.coalesce(find_mentions(t), F.array().cast("array<string>")).alias("_found")))))
-    hits = stored(found.where(F.size("_found") > 0), "surrogates-hits")
-    mentions = (hits.select("_found").distinct()
-                .select("_found", F.posexplode("_found").alias("_at", "_mention"))
-                .select("_found", "_at", F.posexplode(_parts(F.col("_mention"))).alias("_part", "p"))
-                .select("_found", "_at", "_part", "p.*"))
+    # A list of mentions is known by its digest: no row but the text's own and one for each
+    # distinct list holds it.
+    listed = F.sha2(F.array_join("_found", "\x1f").cast("binary"), 256)
+    hits = stored(found.where(F.size("_found") > 0).withColumn("_list", listed), "surrogates-hits")
+    mentions = (hits.groupBy("_list").agg(F.first("_found").alias("_found"))
+                .select("_list", F.posexplode("_found").alias("_at", "_mention"))
+                .select("_list", "_at", F.posexplode(_parts(F.col("_mention"))).alias("_part", "p"))
+                .select("_list", "_at", "_part", "p.*"))
     mentions = stored(mentions, "surrogates-mentions")
     table = surrogates(mentions.where("kind <> 'literal'"), key)
     table = table.select(F.col("kind").alias("k"), F.col("canon").alias("c"), "surrogate")
     written = (mentions.join(table, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c")), "left")
-               .select("_found", "_at", "_part", _written(F.col("piece"), F.col("kind"), F.col("surrogate")).alias("w"),
+               .select("_list", "_at", "_part", _written(F.col("piece"), F.col("kind"), F.col("surrogate")).alias("w"),
                        F.when(F.col("kind").rlike("^(given|surname)"), F.struct("canon", "kind", "surrogate")).alias("name")))
-    replaced = written.groupBy("_found").agg(F.sort_array(F.collect_list(F.struct("_at", "_part", "w"))).alias("all"),
-                                             _names(F.collect_set("name")).alias("_names"))
-    joined = F.transform(F.sequence(F.lit(0), F.size("_found") - 1), lambda i: F.array_join(F.transform(
-        F.filter("all", lambda x: x["_at"] == i), lambda x: x["w"]), ""))
-    replaced = replaced.select(F.col("_found").alias("_f"), joined.alias("_new"), "_names")
-    pieces = F.split(t, ANY, -1)
-    known = F.col("_names")
-    text_out = F.array_join(F.zip_with(pieces, "_new", lambda a, b: F.concat(_untitled(a, known)[0], F.coalesce(b, F.lit("")))), "")
-    again = F.aggregate(pieces, F.lit(0), lambda n, a: n + _untitled(a, known)[1])
-    changed = (hits.join(replaced, F.col("_found") == F.col("_f"))
-               .select("*", text_out.alias("_text"), (F.size("_found") + again).alias("_count")))
+    whole = written.groupBy("_list", "_at").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "w"))), lambda x: x["w"]), "").alias("w"),
+        F.collect_list("name").alias("names"))
+    replaced = whole.groupBy("_list").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_at", "w"))), lambda x: x["w"]).alias("_new"),
+        F.array_distinct(F.flatten(F.collect_list("names"))).alias("_names"))
+    replaced = replaced.select(F.col("_list").alias("_l"), "_new", _names(F.col("_names")).alias("_names"))
+    once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))    # evaluated once, whatever reads it
+    changed = (hits.join(replaced, F.col("_list") == F.col("_l"))
+               .select("*", once(_dealt(F.col("_names")), "_maps"))
+               .select("*", once(F.transform(F.split(t, ANY, -1), lambda a: _untitled(a, F.col("_maps"))), "_pieces")))
+    text_out = F.array_join(F.zip_with("_pieces", "_new", lambda a, b: F.concat(a["text"], F.coalesce(b, F.lit("")))), "")
+    again = F.aggregate("_pieces", F.lit(0), lambda n, a: n + a["n"])
+    changed = changed.select("*", text_out.alias("_text"), (F.size("_found") + again).alias("_count"))
+
     def out(new: Column, count: Column) -> list[Column]:
         columns = [(new if c == text else F.col(n)).alias(c) for c, n in names.items() if c != counts]
         return columns + ([count.cast("bigint").alias(counts)] if counts else [])
