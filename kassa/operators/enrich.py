@@ -55,10 +55,15 @@ def enrich(df: DataFrame, cfg: CleanConfig = DEFAULT) -> DataFrame:
     return revenue_band(calendar_parts(revenue_columns(df, cfg), cfg), cfg)
 
 
-def high_value_flag(df: DataFrame, threshold: Decimal | float | None,
+def high_value_flag(df: DataFrame, threshold: Decimal | float | DataFrame | None,
                     column: str = "net_revenue") -> DataFrame:
-    """``column > threshold`` as 0/1 (strict). No threshold (empty table) -> 0."""
+    """``column > threshold`` as 0/1 (strict). No threshold (empty table) -> 0.
+    A threshold can be a one-row, one-column DataFrame: it is then a scalar
+    subquery of the plan, and nothing runs here."""
     if threshold is None:
         return df.withColumn("is_high_value", F.lit(0))
+    if isinstance(threshold, DataFrame):
+        limit = threshold.scalar()
+        return df.withColumn("is_high_value", F.when(limit.isNull(), 0).otherwise((F.col(column) > limit).cast("int")))
     return df.withColumn("is_high_value",
                          (F.col(column) > F.lit(threshold)).cast("int"))

@@ -1,6 +1,6 @@
-"""The KPI report: ``kpi_rows``, the families as ordered rows, and
-``kpi_report``, the optional document with every family in one row (its arrays
-hold a section's groups, so it is for the low-cardinality columns it is made of).
+"""The KPI report as a document: every family in one row (its arrays hold a
+section's groups, so it is for the low-cardinality columns it is made of). The
+report as rows is ``operators.groups.report_rows``.
 
 The document is one Spark SQL statement over the clean table:
 
@@ -25,13 +25,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from kassa.config import (AVG_DISCOUNT_DIGITS, CANCELLED_STATUS, DEFAULT, MONEY_DIGITS,
                           MONEY_TYPE, RATE_DIGITS, REFUNDED_STATUS, CleanConfig)
 from kassa.functions.columns import sql_name, sql_string
-from kassa.operators import kpis
 
 
 def percent_sql(part: str, whole: str, digits: int = RATE_DIGITS) -> str:
@@ -133,47 +131,6 @@ CROSS JOIN (SELECT count(DISTINCT {cust}) AS unique_customers,
 CROSS JOIN top k"""
 
 
-def kpi_rows(clean: DataFrame, median=None, cfg: CleanConfig = DEFAULT) -> DataFrame:
-    """The report as ordered rows (section, position, key, metric, value).
-
-    Stays distributed whatever the columns hold: no group is packed into one
-    row. Positions are a ranking of the aggregated groups of each section (a
-    spillable window over groups, not over transactions).
-    """
-    def section(name: str, table: DataFrame, order: list, key, metrics: list[str]) -> DataFrame:
-        ranked = table.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order)))
-        return ranked.select(
-            F.lit(name).alias("section"), "position", key.cast("string").alias("key"),
-            F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                               for m in metrics])))
-
-    overall = kpis.overall(clean, median, cfg)
-    scalars = overall.select(F.posexplode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in overall.columns])))
-    scalars = scalars.select(F.lit("overall").alias("section"), (F.col("pos") + 1).alias("position"),
-                             F.lit(None).cast("string").alias("key"), F.col("col.metric").alias("metric"),
-                             F.col("col.value").alias("value"))
-    net = F.desc("net_revenue")
-    parts = [
-        section("category_revenue", kpis.category_revenue(clean, cfg), [net, F.asc_nulls_first(cfg.category)],
-                F.col(cfg.category), ["transactions", "net_revenue", "avg_discount"]),
-        section("monthly_trend", kpis.monthly_trend(clean, cfg), [F.asc_nulls_first("year"), F.asc_nulls_first("month")],
-                F.concat_ws("-", "year", F.lpad(F.col("month").cast("string"), 2, "0")), ["net_revenue"]),
-        section("payment_method_revenue", kpis.payment_method_revenue(clean, cfg),
-                [net, F.asc_nulls_first(cfg.payment)], F.col(cfg.payment), ["net_revenue"]),
-        section("region_performance", kpis.region_performance(clean, cfg), [net, F.asc_nulls_first(cfg.region)],
-                F.col(cfg.region), ["transactions", "net_revenue"]),
-        section("revenue_band_dist", kpis.revenue_band_dist(clean, cfg), [F.asc("band_rank")],
-                F.col("revenue_band"), ["pct"]),
-        section("top_customers", kpis.top_customers(clean, cfg), [net, F.asc_nulls_first(cfg.customer)],
-                F.col(cfg.customer), ["net_revenue"]),
-    ]
-    out = scalars
-    for part in parts:
-        out = out.unionByName(part)
-    return out
-
-
 def kpi_report(clean: DataFrame, median=None, cfg: CleanConfig = DEFAULT) -> DataFrame:
     """Every KPI family of the clean table as one row (``median`` is the exact
     median net revenue, computed with the high-value threshold)."""

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from kassa.config import MEDIAN_QUANTILE, MONEY_DIGITS, MONEY_TYPE
 from kassa.functions import day_of_week, percent, round_money
-from kassa.operators import compare, kpis
+from kassa.operators import compare, groups, kpis, sketches
 from kassa.operators.clean import (clip_discount, dedup, drop_critical_nulls, fill_defaults,
                                    positive_filter)
 from kassa.operators.dedup import exact_dedup
@@ -21,13 +21,13 @@ from kassa.operators.normalize import normalize_na_tokens, parse_timestamps, pre
 from kassa.operators.quality import judged_rows, null_profile, quality_one_pass
 from kassa.operators.quantile import approx_quantiles
 from kassa.operators.replicate import replicate
-from kassa.operators.report import kpi_rows
 from kassa.plans.run import run_pipeline
-from kassa.plans.stages import enriched, flag, thresholds
+from kassa.plans.stages import enriched, flag, threshold_row
 from kassa.schema import CLEAN_COLUMNS, RAW_COLUMNS, RAW_SCHEMA
-from kassa.session import release_scratch, scratch_path
-from kassa.sinks.files import write_csv, write_parquet
-from kassa.sources.csv import read_transactions_csv
+from kassa.session import delete_path, held, holding, path_exists, release_with, scratch_path
+from kassa.sinks.files import append_run_metrics, write_csv, write_parquet, written_size_mb
+from kassa.sinks.incremental import apply_batch, read_incremental
+from kassa.sources.csv import read_transactions_csv, reject_report, split_csv
 from kassa.sources.metrics import read_run_metrics
 from kassa.sources.parquet import read_clean
 from kassa.sources.tables import TABLES_CONFIG, TIE_BREAK_COLUMN, transactions_from_tables
@@ -71,21 +71,11 @@ def _enriched(spark, sf):
     return enriched(_tx(spark, sf), CFG)
 
 
-def _thresholds(spark, sf):
-    """The data-wide quantiles: the one column they read is staged (the joins
-    and the dedup run once for all passes) and deleted when they are known."""
-    path = scratch_path(spark, "net-revenue")
-    net = _enriched(spark, sf).select("net_revenue")
-    write_parquet(net, path)
-    try:
-        return thresholds(read_clean(spark, path, net.schema), CFG, cache=False)
-    finally:
-        release_scratch(spark, [path])
-
-
 def _clean_table(spark, sf):
-    th = _thresholds(spark, sf)
-    return flag(_enriched(spark, sf), th), th
+    """The flagged table: the joins and the dedup run once, for the rows and
+    for the threshold that they are compared with."""
+    e = held(_enriched(spark, sf))
+    return flag(e, threshold_row(e, CFG))
 
 
 # --- sources and normalisation ---------------------------------------------
@@ -160,13 +150,11 @@ def revenue_band_q(spark, sf):
 
 
 def high_value_flag_q(spark, sf):
-    ct, _ = _clean_table(spark, sf)
-    return ct.select("transaction_id", "net_revenue", "is_high_value")
+    return _clean_table(spark, sf).select("transaction_id", "net_revenue", "is_high_value")
 
 
 def clean_table_q(spark, sf):
-    ct, _ = _clean_table(spark, sf)
-    return ct
+    return _clean_table(spark, sf)
 
 
 # --- quality -----------------------------------------------------------------
@@ -183,8 +171,7 @@ def quality_report_q(spark, sf):
 # --- KPIs --------------------------------------------------------------------
 
 def overall_kpis(spark, sf):
-    ct, th = _clean_table(spark, sf)
-    return kpis.overall(ct, th.median, CFG)
+    return groups.overall_of_rows(_enriched(spark, sf), CFG)
 
 
 def distinct_counts_q(spark, sf):
@@ -192,16 +179,13 @@ def distinct_counts_q(spark, sf):
 
 
 def median_order_value(spark, sf):
-    th = _thresholds(spark, sf)
-    med = F.lit(th.median if th.median is not None else 0).cast(MONEY_TYPE)
-    return spark.range(1).select(round_money(med, MONEY_DIGITS).alias("median_order_value"))
+    median = F.coalesce(F.col("median"), F.lit(0).cast("decimal(38,9)"))
+    return threshold_row(_enriched(spark, sf), CFG).select(round_money(median, MONEY_DIGITS).alias("median_order_value"))
 
 
 def p90_threshold(spark, sf):
-    th = _thresholds(spark, sf)
-    p90 = th.rounded(th.high_value)
-    return _enriched(spark, sf).agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(p90).cast("double").alias("p90_threshold"), "rows")
+    return threshold_row(_enriched(spark, sf), CFG).select(
+        round_money("high_value", 6).alias("p90_threshold"), "rows")
 
 
 def status_counts_q(spark, sf):
@@ -257,8 +241,7 @@ def approx_quantiles_q(spark, sf):
 
 def kpi_report_q(spark, sf):
     """The report as ordered rows: section, position, key, metric, value."""
-    ct, th = _clean_table(spark, sf)
-    return kpi_rows(ct, th.median, CFG)
+    return groups.report_rows(groups.kpi_groups(_enriched(spark, sf), CFG), CFG)
 
 
 def pipeline_run(spark, sf):
@@ -275,6 +258,38 @@ def pipeline_run(spark, sf):
     return out.crossJoin(written)
 
 
+def run_records(spark, sf):
+    """What runs leave behind: one staged in the cache, one in a table, and one
+    that fails; the recorded status, counts, written size and times."""
+    metrics = scratch_path(spark, "run-records")
+    sizes = []
+    for staging in ("cache", "table"):
+        target = scratch_path(spark, f"run-{staging}")
+        result = run_pipeline(spark, _tx(spark, sf), target, staging, CFG, metrics_path=metrics, staging=staging)
+        size = written_size_mb(spark, result.clean_path)
+        parts = spark.read.parquet(result.clean_path).select(F.input_file_name()).distinct().count()
+        sizes.append((staging, size > 0, parts > 0, path_exists(spark, f"{target}/_staged")))
+    broken = _tx(spark, sf).withColumn("price", F.raise_error(F.lit("unreadable price")).cast("double"))
+    run_pipeline(spark, broken, scratch_path(spark, "run-failed"), "failed", CFG, metrics_path=metrics, raise_errors=False)
+    kept = spark.createDataFrame(sizes, "scale_label string, has_size boolean, has_parts boolean, staged_left boolean")
+    runs = read_run_metrics(spark, metrics, None, multiline=False)
+    stages = sum((F.col(f"time_{s}_s") for s in compare.STAGES), F.lit(0.0))
+    return runs.join(kept, "scale_label", "left").select(
+        "scale_label", "status", F.col("error_msg").contains("unreadable price").alias("names_the_error"),
+        "raw_rows", "clean_rows", "has_size", "has_parts", "staged_left",
+        (stages <= F.col("time_total_s") + 0.001).alias("stages_within_total"),
+        (F.col("finished_at").isNotNull() & (F.col("cores_used") > 0)).alias("stamped"))
+
+
+def run_append_twice(spark, sf):
+    """Run rows written again by a retry: one row a run, the last one written."""
+    runs = run_history(spark, sf).withColumn("kpis", F.lit(None).cast("map<string,double>"))
+    path = scratch_path(spark, "append-twice")
+    append_run_metrics(runs, path)
+    append_run_metrics(runs.where("framework = 'pandas'").withColumn("cores_used", F.lit(16)), path)
+    return read_run_metrics(spark, path, None, multiline=False).select("run_id", "framework", "cores_used", "raw_rows")
+
+
 # --- run comparison ------------------------------------------------------------
 
 def run_history(spark, sf):
@@ -369,8 +384,83 @@ def csv_quoting_round_trip(spark, sf):
     return read_transactions_csv(spark, path, out.schema)
 
 
+def csv_rejects(spark, sf):
+    """Transactions written as CSV with torn names, prices that are no number and
+    prices beyond the price type; split into accepted rows and a quarantine, and
+    counted by reason."""
+    tx = _tx(spark, sf).select(*RAW_COLUMNS)
+    key = F.col("transaction_id")
+    price = (F.when(key % 13 == 0, "12,50").when(key % 11 == 0, F.concat(F.lit("1"), F.repeat(F.lit("0"), 30)))
+             .otherwise(F.col("price").cast("string")))
+    name = F.when(key % 17 == 0, F.concat("product_name", F.lit("\nsecond line"))).otherwise(F.col("product_name"))
+    path, target = scratch_path(spark, "csv-dirty"), scratch_path(spark, "csv-split")
+    write_csv(tx.withColumns({"price": price, "product_name": name}), path, mode="overwrite")
+    accepted, rejected = split_csv(spark, path, target, cfg=CFG)
+    return reject_report(accepted, rejected)
+
+
+def write_if_absent(spark, sf):
+    """A CSV target that is written, skipped while it is finished, torn (no
+    commit marker, a part file lost) and written again."""
+    part = spark.read.parquet(f"{sf.rstrip('/')}/part.parquet").select(
+        F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"))
+    path = scratch_path(spark, "if-absent")
+    read = lambda step: read_transactions_csv(spark, path, part.schema).agg(
+        F.lit(step).alias("step"), F.count(F.lit(1)).alias("rows"), F.sum("product_id").alias("ids"))
+    steps = []
+    for step, rows in (("written", part.repartition(4)), ("skipped", part.limit(1)), ("repaired", part.repartition(4))):
+        if step == "repaired":
+            delete_path(spark, f"{path}/_SUCCESS")
+            delete_path(spark, read_transactions_csv(spark, path, part.schema).inputFiles()[0])
+        write_csv(rows, path)
+        copy = scratch_path(spark, f"if-absent-{step}")
+        read(step).write.parquet(copy)
+        steps.append(spark.read.parquet(copy))
+    return steps[0].union(steps[1]).union(steps[2])
+
+
+def incremental_clean(spark, sf):
+    """The clean table brought up to date by two batches that share keys; the
+    second one twice."""
+    target = scratch_path(spark, "incremental")
+    tx = _tx(spark, sf)
+    first, second = (tx.where(F.col("product_id") % 3 != 1), tx.where(F.col("product_id") % 3 == 1))
+    for batch in (first, second, second):
+        apply_batch(spark, batch, target, CFG)
+    return read_incremental(spark, target, CFG)
+
+
+def sketch_ranges(spark, sf):
+    """Yearly distinct counts and quantiles from stored daily sketches; their
+    true errors against the bounds (three standard errors of HyperLogLog, four
+    times KLL's rank error)."""
+    e = _enriched(spark, sf)
+    path = scratch_path(spark, "daily-sketches")
+    write_parquet(sketches.daily_sketches(e, CFG), path)
+    years = sketches.merged(spark.read.parquet(path), F.year("day").alias("year"))
+    q = years.select(F.col("year").alias("_year"), F.col("unique_customers").alias("_c"),
+                     F.col("unique_products").alias("_p"), "p50", "p90", "transactions")
+    net = F.col("net_revenue").cast("double")
+    true = (e.join(F.broadcast(q), F.col("year").eqNullSafe(F.col("_year")))
+            .groupBy("year", "_c", "_p", "transactions").agg(
+                F.count(F.lit(1)).alias("rows"), F.count_distinct(CFG.customer).alias("_customers"),
+                F.count_distinct(CFG.product).alias("_products"),
+                *[F.count_if(net < F.col(p)).alias(f"_below_{p}") for p in ("p50", "p90")],
+                *[F.count_if(net <= F.col(p)).alias(f"_upto_{p}") for p in ("p50", "p90")]))
+
+    def near(estimate, exact):
+        return F.abs(F.col(estimate) - F.col(exact)) <= 3 * sketches.HLL_ERROR * F.col(exact) + 1
+
+    def ranked(name, p):
+        slack = 4 * sketches.KLL_ERROR * F.col("rows") + 1
+        return (F.col(f"_below_{name}") <= p * F.col("rows") + slack) & (F.col(f"_upto_{name}") >= p * F.col("rows") - slack)
+    return true.select("year", "transactions", (F.col("rows") == F.col("transactions")).alias("rows_agree"),
+                       near("_c", "_customers").alias("customers_within"), near("_p", "_products").alias("products_within"),
+                       ranked("p50", 0.5).alias("p50_within"), ranked("p90", 0.9).alias("p90_within"))
+
+
 def parquet_round_trip(spark, sf):
-    ct, _ = _clean_table(spark, sf)
+    ct = _clean_table(spark, sf)
     path = scratch_path(spark, "parquet-round-trip")
     write_parquet(ct, path)
     return read_clean(spark, path, ct.schema)
@@ -378,21 +468,22 @@ def parquet_round_trip(spark, sf):
 
 def partitioned_round_trip(spark, sf):
     """The clean table written by year and month, and read back."""
-    ct, _ = _clean_table(spark, sf)
+    ct = _clean_table(spark, sf)
     path = scratch_path(spark, "partitioned-round-trip")
     write_parquet(ct, path, partition_by=("year", "month"))
     return read_clean(spark, path, ct.schema).select(*CLEAN_COLUMNS)
 
 
 def _reported(query: Query) -> Query:
-    """Money is exact ``decimal(18,6)`` inside the engine; a registered query
-    reports it as double (the nearest double to the exact value), so results
-    compare the same way in every engine."""
+    """Money is an exact decimal inside the engine; a registered query reports it
+    as double (the nearest double to the exact value), so results compare the
+    same way in every engine. What the query holds goes with its result."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        df = query(spark, sf)
-        return df.select(*[F.col(f.name).cast("double").alias(f.name)
-                           if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-                           for f in df.schema.fields])
+        with holding() as frames:
+            df = query(spark, sf)
+        return release_with(df.select(*[F.col(f.name).cast("double").alias(f.name)
+                                        if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+                                        for f in df.schema.fields]), frames)
     run.__name__ = getattr(query, "__name__", "query")
     run.__doc__ = query.__doc__
     return run
@@ -435,6 +526,8 @@ def _queries() -> dict[str, Query]:
         "approx_quantiles": approx_quantiles_q,
         "kpi_report": kpi_report_q,
         "pipeline_run": pipeline_run,
+        "run_records": run_records,
+        "run_append_twice": run_append_twice,
         "run_summary": run_summary_q,
         "run_align": run_align_q,
         "run_speedup": run_speedup_q,
@@ -447,6 +540,10 @@ def _queries() -> dict[str, Query]:
         "csv_quoting_round_trip": csv_quoting_round_trip,
         "parquet_round_trip": parquet_round_trip,
         "partitioned_round_trip": partitioned_round_trip,
+        "csv_rejects": csv_rejects,
+        "write_if_absent": write_if_absent,
+        "incremental_clean": incremental_clean,
+        "sketch_ranges": sketch_ranges,
     }
 
 

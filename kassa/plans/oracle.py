@@ -356,6 +356,25 @@ CSV_QUOTING = """SELECT p_partkey AS product_id, CASE p_partkey % 5 WHEN 0 THEN
   p_retailprice AS price FROM part"""
 
 
+RUN_RECORDS = f"""SELECT * FROM (SELECT l AS scale_label, 'SUCCESS' AS status, CAST(NULL AS BOOLEAN) AS names_the_error,
+    b.rows AS raw_rows, o.n AS clean_rows, TRUE AS has_size, TRUE AS has_parts, FALSE AS staged_left,
+    TRUE AS stages_within_total, TRUE AS stamped
+  FROM (VALUES ('cache'), ('table')) v(l), (SELECT count(*) AS rows FROM prepared) b, (SELECT count(*) AS n FROM clean_table) o
+  UNION ALL SELECT 'failed', 'ERROR', TRUE, NULL, NULL, NULL, NULL, NULL, NULL, TRUE) t"""
+
+RUN_APPEND_TWICE = RUNS + """SELECT run_id, framework, CASE framework WHEN 'pandas' THEN 16 ELSE 8 END AS cores_used,
+  raw_rows FROM runs"""
+
+CSV_REJECTS = """, d AS (SELECT CASE WHEN transaction_id % 17 = 0 THEN 'columns' WHEN transaction_id % 13 = 0 THEN 'type price'
+    WHEN transaction_id % 11 = 0 THEN 'range price' END AS reason,
+    CASE WHEN transaction_id % 17 = 0 THEN 2 ELSE 1 END AS lines FROM transactions),
+r AS (SELECT reason, CAST(sum(lines) AS BIGINT) AS rows FROM d GROUP BY reason)
+SELECT reason, rows, {pct} AS pct FROM r""".replace("{pct}", percent("rows", "(SELECT sum(rows) FROM r)", RATE_DIGITS))
+
+WRITE_IF_ABSENT = """SELECT s AS step, (SELECT count(*) FROM part) AS rows, (SELECT CAST(sum(p_partkey) AS BIGINT) FROM part) AS ids
+FROM (VALUES ('written'), ('skipped'), ('repaired')) v(s)"""
+
+
 MONEY_COLUMNS = ("gross_revenue", "discount_amt", "net_revenue")
 
 
@@ -433,6 +452,13 @@ FROM enriched GROUP BY category"""),
         "kpi_report": _report_select(),
         "pipeline_run": _pipeline_run_select(),
         **_run_sql(),
+        "run_records": _with(RUN_RECORDS),
+        "run_append_twice": RUN_APPEND_TWICE,
+        "csv_rejects": "WITH " + TRANSACTIONS + CSV_REJECTS,
+        "write_if_absent": WRITE_IF_ABSENT,
+        "incremental_clean": _with(_money_as_double(f"SELECT {_cols(CLEAN_COLUMNS)} FROM clean_table")),
+        "sketch_ranges": _with("SELECT year, count(*) AS transactions, TRUE AS rows_agree, TRUE AS customers_within, "
+                               "TRUE AS products_within, TRUE AS p50_within, TRUE AS p90_within FROM enriched GROUP BY year"),
         "csv_quoting_round_trip": CSV_QUOTING,
         "partitioned_round_trip": _with(_money_as_double(f"SELECT {_cols(CLEAN_COLUMNS)} FROM clean_table")),
         "replicate_union": _replicate_select(3),

@@ -2,17 +2,18 @@
 
 Plan, per run:
 
-* extract: one column-pruned aggregate over the source gives the raw profile
-  (an aggregate's result does not change when tasks are run again, which a
-  counter observed below a shuffle would);
-* transform: one shuffle for the keyed dedup (exact-row dedup is implied by
-  it) and one materialisation of the enriched table: a Parquet table in the
-  target store (``staging="table"``, removed at the end) or, for data that fits
-  the cluster's memory, a ``MEMORY_AND_DISK`` cache (``staging="cache"``); the
-  exact quantiles read one column of it;
+* extract: the source is read once, and cleaned and enriched in the same pass.
+  One shuffle by key keeps, for each key, the row that the dedup keeps and what
+  the key's rows add to the raw profile (rows, missing cells). These partial
+  counts are columns of the staged table, so they are right however often a task
+  runs. The table is a Parquet table in the target store (``staging="table"``,
+  removed at the end) or, for data that fits the cluster's memory, a
+  ``MEMORY_AND_DISK`` cache (``staging="cache"``). The profiles before and after
+  are sums over it;
+* transform: the exact quantiles, from one column of the staged rows;
 * load: the flagged table is written once as Parquet;
-* analytics read the written Parquet back: a lineage cut on the shared store
-  and column pruning per KPI.
+* analytics read the written Parquet back (a lineage cut on the shared store):
+  one aggregate over all sets of groups, which every KPI family is read from.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kassa.config import DEFAULT, MEDIAN_QUANTILE, NULL_RATE_DIGITS, RATE_DIGITS, CleanConfig
-from kassa.functions.columns import missing_cells
-from kassa.operators.clean import clean
-from kassa.operators.enrich import enrich
+from kassa.functions import is_missing
+from kassa.operators.groups import kpi_groups, report_rows
 from kassa.operators.normalize import prepare
 from kassa.operators.kpis import kpi_tables
-from kassa.operators.report import kpi_report, kpi_rows
+from kassa.operators.quality import judged_rows
+from kassa.operators.report import kpi_report
 from kassa.operators.quantile import quantiles
 from kassa.plans.stages import Thresholds, flag
 from kassa.schema import CLEAN_COLUMNS, RAW_COLUMNS, RUN_METRICS_SCHEMA
@@ -53,10 +54,24 @@ class RunResult:
     report: DataFrame | None = field(default=None, repr=False)
 
 
-def _profile(df: DataFrame, columns) -> dict:
-    """Row count and missing cells: one aggregate over the pruned columns."""
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.coalesce(missing_cells(df.schema, columns), F.lit(0)).alias("nulls")).first().asDict()
+def profiled_rows(prepared: DataFrame, cfg: CleanConfig, raw_columns) -> DataFrame:
+    """One row a key: the enriched row where the rules keep it (``_kept``), and
+    what the key adds to the profiles: ``_rows`` and ``_nulls`` (missing cells)
+    before, ``_left`` (missing cells) after."""
+    rows = judged_rows(prepared, cfg, raw_columns)
+    columns = [c for c in CLEAN_COLUMNS if c != "is_high_value"]        # the flag is never missing
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    left = sum((is_missing(c, types[c]).cast("bigint") for c in columns), F.lit(0))
+    return rows.select("_rows", "_nulls", "_kept", F.when(F.col("_kept"), left).alias("_left"),
+                       *[F.when(F.col("_kept"), F.col(c)).alias(c) for c in columns])
+
+
+def profiles(staged: DataFrame) -> tuple[dict, dict]:
+    """Rows and missing cells before and after, from the staged partial counts."""
+    zero = F.lit(0).cast("long")
+    row = staged.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("_rows", "_nulls", "_left")],
+                     F.count_if("_kept").alias("kept")).first()
+    return {"rows": row["_rows"], "nulls": row["_nulls"]}, {"rows": row["kept"], "nulls": row["_left"]}
 
 
 def _pct(part: int, whole: int, digits: int) -> float:
@@ -107,29 +122,29 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
                      "cores_used": spark.sparkContext.defaultParallelism}
     cached = None
     try:
-        # 1. extract: read the source once for its profile; NA tokens, timestamps.
+        # 1. extract: the one pass of the source; the profiles read what it left.
         t0 = time.perf_counter()
         raw_cols = [c for c in RAW_COLUMNS if c in raw.columns]
-        prepared = prepare(raw, cfg)
-        before = _profile(prepared, raw_cols)
+        judged = profiled_rows(prepare(raw, cfg), cfg, raw_cols)
+        if staging == "table":
+            write_parquet(judged, staged_path)
+            staged = read_clean(spark, staged_path, judged.schema)
+        else:
+            staged = cached = judged.persist(StorageLevel.MEMORY_AND_DISK)
+        before, after = profiles(staged)
         t_extract = time.perf_counter() - t0
 
-        # 2. transform: dedup, clean, enrich, materialised once; quantiles read it.
+        # 2. transform: the clean rows and their exact quantiles.
         t0 = time.perf_counter()
-        enriched_df = enrich(clean(prepared, cfg), cfg)
-        if staging == "table":
-            write_parquet(enriched_df, staged_path)
-            staged = read_clean(spark, staged_path, enriched_df.schema)
-        else:
-            staged = cached = enriched_df.persist(StorageLevel.MEMORY_AND_DISK)
-        q = quantiles(staged, "net_revenue", [cfg.high_value_quantile, MEDIAN_QUANTILE],
+        rows = staged.where("_kept").drop("_rows", "_nulls", "_kept", "_left")
+        q = quantiles(rows, "net_revenue", [cfg.high_value_quantile, MEDIAN_QUANTILE],
                       cfg.quantile_error, cache=False)
         th = Thresholds(q[cfg.high_value_quantile], q[MEDIAN_QUANTILE])
         t_transform = time.perf_counter() - t0
 
         # 3. load: flag and write.
         t0 = time.perf_counter()
-        final = flag(staged, th)
+        final = flag(rows, th)
         write_parquet(final, clean_path, partition_by=partition_by)
         if cached is not None:
             cached = cached.unpersist() and None
@@ -138,7 +153,6 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
         # 4. analytics: from the written table.
         t0 = time.perf_counter()
         clean_back = read_clean(spark, clean_path, final.schema)
-        after = _profile(clean_back, CLEAN_COLUMNS)
         if document:
             report = kpi_report(clean_back, th.median, cfg)
             write_report(report, report_path)
@@ -147,9 +161,9 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
             scalars = {f.name: float(first[f.name]) for f in report.schema.fields
                        if isinstance(f.dataType, T.NumericType)}
         else:
-            rows = kpi_rows(clean_back, th.median, cfg)
-            write_rows(rows, report_path)
-            written = spark.read.schema(rows.schema).json(report_path)
+            lines = report_rows(kpi_groups(clean_back, cfg), cfg, th.median if th.median is not None else 0)
+            write_rows(lines, report_path)
+            written = spark.read.schema(lines.schema).json(report_path)
             scalars = {r["metric"]: r["value"] for r in written.where("section = 'overall'").collect()}
         if kpi_tables_path:
             write_kpi_tables(clean_back, th.median, kpi_tables_path, cfg)

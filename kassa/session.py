@@ -7,8 +7,14 @@ import atexit
 import re
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -86,6 +92,47 @@ def release_scratch(spark: SparkSession | None = None, paths: list[str] | None =
                 delete_path(own, path)
 
 
+_HOLDING: ContextVar[list[DataFrame] | None] = ContextVar("holding", default=None)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` kept by Spark (memory, else the executors' disks) from its first
+    use on, so that several branches of one query compute it once; nothing runs
+    here, and lost parts are computed again. The plan gets a mark of its own
+    that the optimizer removes: no other query is answered from the held rows.
+    Inside ``holding()`` the caller releases it."""
+    mark = F.lit(uuid.uuid4().hex)
+    df = df.where(mark == mark).persist(StorageLevel.MEMORY_AND_DISK)
+    frames = _HOLDING.get()
+    if frames is not None:
+        frames.append(df)
+    return df
+
+
+@contextmanager
+def holding() -> Iterator[list[DataFrame]]:
+    """The frames held meanwhile."""
+    frames: list[DataFrame] = []
+    token = _HOLDING.set(frames)
+    try:
+        yield frames
+    finally:
+        _HOLDING.reset(token)
+
+
+def _unpersist(frames: list[DataFrame]) -> None:
+    for df in frames:
+        if df.sparkSession.sparkContext._jsc is not None:
+            df.unpersist()
+
+
+def release_with(result: DataFrame, frames: list[DataFrame]) -> DataFrame:
+    """``result``, whose held frames go when it is garbage."""
+    if frames:
+        weakref.finalize(result, _unpersist, frames).atexit = False
+    return result
+
+
 @atexit.register
 def _release_all() -> None:
     try:

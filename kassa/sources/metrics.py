@@ -12,8 +12,10 @@ def read_run_metrics(spark: SparkSession, path: str, pattern: str = "*_metrics_*
                      multiline: bool = True) -> DataFrame:
     """Run-metrics JSON documents under ``path`` (one document per file, or
     JSON lines with ``multiline=False``), read with the declared schema.
-    A missing ``status`` means SUCCESS (handled by the comparison operators)."""
-    reader = spark.read.schema(RUN_METRICS_SCHEMA).option("multiLine", multiline)
+    A missing ``status`` means SUCCESS (handled by the comparison operators).
+    The folders that the sink keeps a run in are looked into."""
+    reader = (spark.read.schema(RUN_METRICS_SCHEMA).option("multiLine", multiline)
+              .option("recursiveFileLookup", True))
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.json(path)
