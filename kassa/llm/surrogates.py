@@ -33,6 +33,7 @@ from kassa.llm.components import stored
 
 DEFAULT_KEY = "change-this-key"
 MOST_ROUNDS = 40
+ENTITIES_PER_FILE = 100_000
 
 MALE = ("Mr", "Sir", "Herr", "Monsieur", "monsieur", "Señor", "señor", "Sr", "Don", "don", "господин", "κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "madame", "Mademoiselle", "Mme", "Mlle", "Señora", "señora",
@@ -251,19 +252,25 @@ def surrogates(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     format has fewer free values than entities."""
     known = stored(entities.select("kind", "canon").distinct(), "surrogates-entities")
     given = known.select("kind", F.col("canon").alias("surrogate"))     # values that are taken
-    now, done = known.withColumn("attempt", F.lit(0)), None
+    now, done, left = known.withColumn("attempt", F.lit(0)), None, None
     order = Window.partitionBy("kind", "surrogate").orderBy("canon")
     for attempt in range(MOST_ROUNDS):
         # Only what collided is drawn again: with an entity, a surrogate given before, or another draw.
         drawn = _drawn(now, key, "kind", "canon").withColumn("_place", F.row_number().over(order))
-        taken = given.withColumnRenamed("kind", "k").withColumnRenamed("surrogate", "s").distinct().withColumn("real", F.lit(True))
+        taken = given
+        if left is not None:               # few by now: only the values that they ask for
+            taken = given.join(drawn.select("kind", "surrogate"), ["kind", "surrogate"], "left_semi").distinct()
+        taken = taken.select(F.col("kind").alias("k"), F.col("surrogate").alias("s"), F.lit(True).alias("real"))
         judged = (drawn.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("s")), "left")
                   .select("kind", "canon", "surrogate", (F.col("real").isNotNull() | (F.col("_place") > 1)).alias("again")))
+        if left is not None:               # a file for so many entities, not one for each shuffle partition
+            judged = judged.coalesce(1 + left // ENTITIES_PER_FILE)
         judged = stored(judged, "surrogates-drawn")
         fresh = judged.where("not again").select("kind", "canon", "surrogate")
         done = fresh if done is None else done.union(fresh)
         now = judged.where("again").select("kind", "canon", F.lit(attempt + 1).alias("attempt"))
-        if now.isEmpty():
+        left = now.count()
+        if not left:
             return done
         given = given.union(fresh.select("kind", "surrogate"))
     return _filled(done.withColumn("again", F.lit(False)).union(
