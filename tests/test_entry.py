@@ -6,10 +6,13 @@ import importlib
 import sys
 import warnings
 
+import pytest
+
 import __spark_entry__ as entry
 
 
 def test_core_queries_survive_a_missing_dependency(monkeypatch):
+    pytest.importorskip("corpus_pipeline")
     core = set(entry.catalog.queries())
     for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("kassa.llm")]:
         monkeypatch.delitem(sys.modules, name)
