@@ -8,8 +8,9 @@ its words as hit. A document is contaminated when a word is hit and at least
 ``coverage`` of its words are.
 
 Scale: documents never shuffle. Items are dealt into blocks of a fixed byte
-size and each block is broadcast alone, so no broadcast grows with the
-benchmark; a task holds one automaton block at a time. Most words never reach
+size, and all blocks are broadcast before the job starts, each on its own: the
+sum grows with the benchmark, which is meant to be some tens of MB. A task
+holds one automaton at a time. Most words never reach
 the automaton: a numpy pass keeps runs whose consecutive word pairs all occur
 in an item (no match spans another pair), and only runs that can hold a whole
 window are streamed.
