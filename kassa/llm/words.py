@@ -51,18 +51,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BLOCK = 1 << 17                          # bytes hashed at once
+
+
 def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of buf[start:end] for ranges in order that do not overlap."""
-    n = len(buf)
-    if not len(starts):
-        return np.empty(0, dtype=_U)
-    place = np.arange(n, dtype=_U)
-    place[starts[0]:] -= np.repeat(starts.astype(_U), np.diff(np.append(starts, n)))
-    place <<= _U(8)
-    place |= buf
-    sums = np.zeros(n + 1, dtype=_U)
-    np.cumsum(mix(place + _LEFT), out=sums[1:])
-    return mix(sums[ends] - sums[starts] + (ends - starts).astype(_U) * _LENGTH)
+    """Hash of buf[start:end] for ranges in order that do not overlap; a block of
+    ranges at a time, so the numbers of all bytes are never held together."""
+    out = np.empty(len(starts), dtype=_U)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _BLOCK)))
+        a, b = int(starts[lo]), int(ends[hi - 1])
+        first, last = starts[lo:hi] - a, ends[lo:hi] - a
+        place = np.arange(b - a, dtype=_U)
+        place -= np.repeat(first.astype(_U), np.diff(np.append(first, b - a)))
+        place <<= _U(8)
+        place |= buf[a:b]
+        place += _LEFT
+        sums = np.zeros(b - a + 1, dtype=_U)
+        np.cumsum(mix(place), out=sums[1:])
+        out[lo:hi] = mix(sums[last] - sums[first] + (last - first).astype(_U) * _LENGTH)
+        lo = hi
+    return out
 
 
 class Words:
