@@ -54,19 +54,23 @@ def judged_rows(prepared: DataFrame, cfg: CleanConfig = DEFAULT,
     """One enriched row per key, from one scan and one shuffle of ``prepared``.
 
     Each key keeps its row count (``_rows``), its missing cells (``_nulls``) and
-    (``min_by``, combined map-side) the row that the keyed dedup keeps;
-    ``_kept`` says whether the cleaning rules keep that row.
+    (the least row, combined map-side) the row that the keyed dedup keeps;
+    ``_kept`` says whether the cleaning rules keep that row. What decides comes
+    first in the compared row, so every cell is shuffled once, and the key only
+    as the key.
     """
     before_columns = list(before_columns or prepared.columns)
     types = {f.name: f.dataType for f in prepared.schema.fields}
     ties = cfg.tie_breakers if cfg.tie_breakers is not None else tuple(
         c for c in prepared.columns if c not in (cfg.key, *cfg.order_by))
-    row = F.struct(*[F.col(c) for c in prepared.columns])
+    order = list(dict.fromkeys((*cfg.order_by, *ties)))
+    row = F.struct(*[F.col(c) for c in (*order, *(c for c in prepared.columns if c not in (cfg.key, *order)))])
     missing = sum((is_missing(c, types[c]).cast("bigint") for c in before_columns), F.lit(0))
     per_key = prepared.groupBy(F.col(cfg.key).alias("_key")).agg(
         F.count(F.lit(1)).alias("_rows"), F.sum(missing).alias("_nulls"),
-        F.min_by(row, F.struct(*[F.col(c) for c in (*cfg.order_by, *ties)])).alias("_first"))
-    rows = per_key.select("_rows", "_nulls", "_first.*")
+        F.min(row).alias("_first"))
+    rows = per_key.select("_rows", "_nulls", *[
+        (F.col("_key") if c == cfg.key else F.col("_first")[c]).alias(c) for c in prepared.columns])
     kept = F.lit(True)
     for c in cfg.critical:
         kept = kept & ~is_missing(c, types[c])

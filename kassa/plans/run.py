@@ -127,7 +127,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
         raw_cols = [c for c in RAW_COLUMNS if c in raw.columns]
         judged = profiled_rows(prepare(raw, cfg), cfg, raw_cols)
         if staging == "table":
-            write_parquet(judged, staged_path)
+            write_parquet(judged, staged_path, compression="zstd")
             staged = read_clean(spark, staged_path, judged.schema)
         else:
             staged = cached = judged.persist(StorageLevel.MEMORY_AND_DISK)
