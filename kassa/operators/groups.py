@@ -1,8 +1,11 @@
 """Every KPI family from one aggregate.
 
 ``kpi_groups`` is one ``GROUPING SETS`` aggregate over the clean (or enriched)
-rows: one scan, one ``Expand``, partial aggregation map-side, one shuffle. A row
-is a group of one set:
+rows: one scan, one ``Expand``, partial aggregation map-side, one shuffle. For rows
+that are stored, ``stored_groups`` gives the same groups without expanding the rows:
+the breakdowns of few values come from their cells (the rows grouped by these
+columns together), and every set of more groups is an aggregate of its own that
+scans only the columns it needs. A row is a group of one set:
 
 * ``total``, ``status``, ``category``, ``month``, ``payment``, ``region``,
   ``band``: the low-cardinality breakdowns;
@@ -18,6 +21,7 @@ The families read those groups, never the rows again: ``overall`` and
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,10 @@ from kassa.operators.ranks import LEAST_RANGES, quantile_ctes
 from kassa.operators.report import money_sql, percent_sql
 
 
+#: Sets that are aggregates of their own, and the sums that their families read besides ``n``.
+APART = {"month": ("net", "gross", "discounts", "discount_sum", "high"), "customer": ("net",), "product": (), "value": ()}
+
+
 def set_columns(cfg: CleanConfig = DEFAULT) -> dict[str, list[str]]:
     """The grouping columns of every set."""
     return {"total": [], "status": [cfg.status], "category": [cfg.category], "month": ["year", "month"],
@@ -54,6 +62,42 @@ def kpi_groups(df: DataFrame, cfg: CleanConfig = DEFAULT, sets: tuple[str, ...]
     return grouped.agg(F.grouping_id().alias("_id"), *sums).withColumn("set", name).drop("_id")
 
 
+def stored_groups(df: DataFrame, cfg: CleanConfig = DEFAULT, sets: tuple[str, ...] | None = None) -> DataFrame:
+    """``kpi_groups`` of rows that are cheap to read several times; null where no
+    family reads that sum of the set (see ``APART``)."""
+    wanted = {name: cols for name, cols in set_columns(cfg).items() if sets is None or name in sets}
+    keys = list(dict.fromkeys(c for cols in wanted.values() for c in cols))
+    sums = {"net": F.sum("net_revenue"), "gross": F.sum("gross_revenue"), "discounts": F.sum("discount_amt"),
+            "discount_sum": F.sum(F.col(cfg.discount).cast(MONEY_TYPE))}
+    types = dict.fromkeys(sums, MONEY_TYPE)
+    if "is_high_value" in df.columns:
+        sums["high"], types["high"] = F.sum("is_high_value"), "bigint"
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    n = F.count(F.lit(1)).alias("n")
+
+    def whole(groups: DataFrame, name, of: list[str], has) -> DataFrame:
+        return groups.select(
+            *[F.col(k) if k in of else F.lit(None).cast(kinds[k]).alias(k) for k in keys], "n",
+            *[F.col(c) if c in has else F.lit(None).cast(types[c]).alias(c) for c in sums], name.alias("set"))
+
+    parts = []
+    few = {name: cols for name, cols in wanted.items() if name not in APART}
+    if few:
+        cols = list(dict.fromkeys(c for of in few.values() for c in of))
+        cells = df.groupBy(*cols).agg(n, *[x.alias(c) for c, x in sums.items()])
+        # The grouping id has a bit a key, set where the key is outside the set.
+        ids = {sum(1 << (len(cols) - 1 - i) for i, k in enumerate(cols) if k not in of): name for name, of in few.items()}
+        name = F.element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), F.col("_id").cast("int"))
+        rolled = cells.groupingSets([[F.col(c) for c in of] for of in few.values()], *cols).agg(
+            F.grouping_id().alias("_id"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.sum(c).alias(c) for c in sums])
+        parts.append(whole(rolled, name, cols, sums))
+    for name in (x for x in wanted if x in APART):
+        has = [c for c in APART[name] if c in sums]
+        grouped = df.groupBy(*wanted[name]).agg(n, *[sums[c].alias(c) for c in has])
+        parts.append(whole(grouped, F.lit(name), wanted[name], has))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _limits(rows: DataFrame, cfg: CleanConfig, median: Decimal | float | None) -> str:
     """Parts of a WITH clause from ``counts`` (net revenue by value) to
     ``limits``, the median and the rows above the high-value quantile; a known

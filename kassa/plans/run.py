@@ -13,7 +13,7 @@ Plan, per run:
 * transform: the exact quantiles, from one column of the staged rows;
 * load: the flagged table is written once as Parquet;
 * analytics read the written Parquet back (a lineage cut on the shared store):
-  one aggregate over all sets of groups, which every KPI family is read from.
+  the groups of all sets, which every KPI family is read from.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from kassa.config import DEFAULT, MEDIAN_QUANTILE, NULL_RATE_DIGITS, RATE_DIGITS, CleanConfig
 from kassa.functions import is_missing
-from kassa.operators.groups import kpi_groups, report_rows
+from kassa.operators.groups import report_rows, stored_groups
 from kassa.operators.normalize import prepare
 from kassa.operators.kpis import kpi_tables
 from kassa.operators.quality import judged_rows
@@ -161,7 +161,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, target: str, label: str,
             scalars = {f.name: float(first[f.name]) for f in report.schema.fields
                        if isinstance(f.dataType, T.NumericType)}
         else:
-            lines = report_rows(kpi_groups(clean_back, cfg), cfg, th.median if th.median is not None else 0)
+            lines = report_rows(stored_groups(clean_back, cfg), cfg, th.median if th.median is not None else 0)
             write_rows(lines, report_path)
             written = spark.read.schema(lines.schema).json(report_path)
             scalars = {r["metric"]: r["value"] for r in written.where("section = 'overall'").collect()}
